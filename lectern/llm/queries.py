@@ -5,19 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import leakage
-from .common import table
+from . import confusables, leakage
+from .common import CHAPTER, SENTENCE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = confusables.cases(table(spark, folder, "sentences"), "text", SENTENCE)
+    paragraphs = confusables.cases(table(spark, folder, "paragraphs"), "full_text", [*CHAPTER, "para_idx"])
+    form = lambda df, field, sent: df.select(F.lit(field).alias("field"), *CHAPTER, "para_idx", sent.cast("int").alias("sent_idx"))
+    return form(texts, "text", F.col("sent_idx")).unionByName(form(paragraphs, "full_text", F.lit(-1)))
+
+
+def p2_normalised(spark: SparkSession, folder: str) -> DataFrame:
+    """Every value of both fields in its consistent form."""
+    texts = confusables.normalised(table(spark, folder, "sentences"), "text").select(F.lit("text").alias("field"), *SENTENCE, "normal", "was_case")
+    paragraphs = confusables.normalised(table(spark, folder, "paragraphs"), "full_text")
+    paragraphs = paragraphs.select(F.lit("full_text").alias("field"), *CHAPTER, "para_idx", F.lit(-1).cast("int").alias("sent_idx"), "normal", "was_case")
+    return texts.unionByName(paragraphs)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_normalised": p2_normalised, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
