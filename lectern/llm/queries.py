@@ -7,12 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import confusables, leakage
+from . import confusables, leakage, pairs
 from .common import CHAPTER, SENTENCE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pairs.judged(table(spark, folder, "notes"))
+    return found.where("defect = 'truncated'").select(*SENTENCE).distinct()
+
+
+def p1_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of truncated notes for each model."""
+    return pairs.by_source(table(spark, folder, "notes"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = pairs.judged(table(spark, folder, "notes"))
+    return found.where("defect is not null").select(*SENTENCE, "defect").distinct()
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     texts = confusables.cases(table(spark, folder, "sentences"), "text", SENTENCE)
     paragraphs = confusables.cases(table(spark, folder, "paragraphs"), "full_text", [*CHAPTER, "para_idx"])
@@ -33,7 +48,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p2_found": p2_found, "p2_normalised": p2_normalised, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
