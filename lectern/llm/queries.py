@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import confusables, leakage, pairs
+from . import confusables, encoding, leakage, pairs
 from .common import CHAPTER, SENTENCE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +47,17 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.repaired(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents with their text restored as far as it can be."""
+    return encoding.repaired(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
