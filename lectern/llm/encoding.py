@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -159,15 +160,21 @@ class Model:
         return tuple(sorted(found, key=lambda f: -f[2])[:24])
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
+
+
+def share(spark, counts: np.ndarray):
+    """The counts for all executors, under a name of their own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts))
 
 
 def model_of(shared) -> Model:
-    """The model of broadcast counts; a worker keeps it, and what it has read, for its next task."""
-    if shared.id not in _MODELS:
+    """The model of shared counts; a worker keeps it, and what it has read, for its next task."""
+    name, counts = shared.value
+    if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[shared.id] = Model(shared.value)
-    return _MODELS[shared.id]
+        _MODELS[name] = Model(counts)
+    return _MODELS[name]
 
 
 def plain(text: str) -> bool:
@@ -226,7 +233,7 @@ def count_pairs(words: DataFrame) -> DataFrame:
 
 def expect(words: DataFrame, counts: np.ndarray) -> DataFrame:
     """(source, word, n, wrong, true, back): words with their best reading, null if they stand."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
+    shared = share(words.sparkSession, counts)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(shared)
@@ -299,7 +306,7 @@ def repaired(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     docs = docs.where((F.octet_length("text") > F.length("text")) & F.col("text").rlike(rf"[^{PLAIN}]"))
     counts, weights = learn(docs)
     prior = weights.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("wrong", "true", "weight")).alias("swaps"))
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    shared = share(documents.sparkSession, counts)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_of(shared)
