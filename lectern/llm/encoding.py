@@ -14,9 +14,9 @@ With these weights each document is judged as a whole and its garbled words
 are restored with ``str.translate`` (one byte a letter) or by decoding the
 bytes again (several bytes a letter).
 
-Bigrams are counted in a hashed table of fixed size, so what is sent to the
-executors is bounded whatever the corpus; the learned weights have one row a
-source and are joined.
+Bigrams are counted in a hashed table of fixed size and sources share a fixed
+number of slots for their weights, so what is sent to the executors is bounded
+whatever the corpus, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -163,14 +164,14 @@ class Model:
 _MODELS: dict[str, Model] = {}
 
 
-def share(spark, counts: np.ndarray):
-    """The counts for all executors, under a name of their own."""
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts))
+def share(spark, counts: np.ndarray, prior: dict | None = None):
+    """What all executors need, under a name of its own."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts, prior or {}))
 
 
 def model_of(shared) -> Model:
     """The model of shared counts; a worker keeps it, and what it has read, for its next task."""
-    name, counts = shared.value
+    name, counts = shared.value[:2]
     if name not in _MODELS:
         _MODELS.clear()
         _MODELS[name] = Model(counts)
@@ -258,6 +259,23 @@ def learn(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
     return counts, weights.withColumn("weight", (F.col("n") + 0.5) / (F.col("of") + 1.0))
 
 
+#: Sources share this many slots, so that their weights have a bounded size.
+SLOTS = 4096
+
+
+def slot(source: str | None) -> int:
+    return 0 if source is None else 1 + zlib.crc32(source.encode()) % (SLOTS - 1)
+
+
+def priors(weights: DataFrame) -> dict[int, dict[tuple[str, str], float]]:
+    """Log weights of the swaps by slot of source: at most SLOTS times the number of swaps."""
+    place = F.when(F.col("source").isNull(), F.lit(0)).otherwise(1 + F.crc32(F.encode("source", "UTF-8")) % (SLOTS - 1))
+    out: dict = {}
+    for r in weights.groupBy(place.cast("int").alias("slot"), "wrong", "true").agg(F.max("weight").alias("weight")).collect():
+        out.setdefault(r.slot, {})[r.wrong, r.true] = math.log(r.weight)
+    return out
+
+
 def alphabet(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(source, wrong, true, symbol, letter, n): the learned ciphers, letter by letter."""
     found = expect(vocabulary(docs), counts).where("wrong is not null and length(word) = length(back)")
@@ -305,21 +323,17 @@ def repaired(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     # most texts in English leave here, without a look at their characters one by one
     docs = docs.where((F.octet_length("text") > F.length("text")) & F.col("text").rlike(rf"[^{PLAIN}]"))
     counts, weights = learn(docs)
-    prior = weights.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("wrong", "true", "weight")).alias("swaps"))
-    shared = share(documents.sparkSession, counts)
+    prior = priors(weights)
+    shared = share(documents.sparkSession, counts, prior)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = model_of(shared)
-        priors: dict = {}
+        model, prior = model_of(shared), shared.value[2]
         for b in batches:
             rows = []
-            for key, value, source, known in zip(b["doc_id"], b["text"], b["source"], b["swaps"]):
-                if source not in priors:
-                    priors[source] = {(s["wrong"], s["true"]): math.log(s["weight"]) for s in known} if known is not None else {}
-                garbled, fixed = restore(value, model, priors[source])
+            for key, value, source in zip(b["doc_id"], b["text"], b["source"]):
+                garbled, fixed = restore(value, model, prior.get(slot(source), {}))
                 if garbled:
                     rows.append((key, fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "restored"])
 
-    joined = docs.join(prior, docs["source"].eqNullSafe(prior["_source"]), "left").select("doc_id", "text", "source", "swaps")
-    return joined.mapInPandas(judge, f"doc_id {kind}, restored string")
+    return docs.mapInPandas(judge, f"doc_id {kind}, restored string")
