@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundaries, confusables, encoding, leakage, pairs
+from . import boundaries, confusables, encoding, leakage, pairs, reading
 from .common import CHAPTER, SENTENCE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,24 @@ def p2_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return texts.unionByName(paragraphs)
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    graded = reading.levels(table(spark, folder, "sentences"), table(spark, folder, "graded"))
+    return graded.where("share_english > 0.5").select(*CHAPTER, "band")
+
+
+def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The English chapters by band: how many, their length, and their mean earlier score where one is there.
+
+    Earlier scores of another run's scale, far outside the usual one's
+    range, are left out of the mean.
+    """
+    graded = reading.levels(table(spark, folder, "sentences"), table(spark, folder, "graded")).where("share_english > 0.5")
+    earlier = table(spark, folder, "scored").select(*SENTENCE, "score").where("score between -50 and 150").distinct()
+    scores = earlier.groupBy(*CHAPTER).agg(F.sum("score").alias("_sum"), F.count("score").alias("_n"))
+    both = graded.join(scores, CHAPTER, "left").groupBy("band")
+    return both.agg(F.count("*").alias("n_chapters"), F.sum("n_words").alias("n_words"), F.sum("_n").alias("n_scored"), F.round(F.sum("_sum") / F.sum("_n"), 6).alias("mean_score"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return boundaries.sentences(table(spark, folder, "paragraphs"))
 
@@ -61,7 +79,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
