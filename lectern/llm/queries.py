@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boundaries, confusables, encoding, leakage, pairs, reading
+from . import boundaries, confusables, encoding, leakage, packing, pairs, reading
 from .common import CHAPTER, SENTENCE, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +65,15 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return boundaries.sentences(table(spark, folder, "paragraphs"))
 
 
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(table(spark, folder, "documents"), table(spark, folder, "containers"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the containers of each kind are filled."""
+    return packing.report(p6_packed(spark, folder), table(spark, folder, "containers"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -79,7 +88,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p1_found": p1_found, "p1_by_model": p1_by_model, "p2_found": p2_found, "p2_normalised": p2_normalised, "p3_found": p3_found, "p4_found": p4_found, "p4_profile": p4_profile, "p5_found": p5_found, "p6_packed": p6_packed, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 def oracle_sql() -> dict[str, str]:
