@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,6 +116,15 @@ for _j, _c in enumerate(COMBINATIONS):
         MATRIX[_k, _j] += 1
 
 
+def largest(classes: list[list], room: int, least: int, window: int):
+    """Takes the longest unit of at most ``room`` from class ``least`` or above."""
+    for k in range(min(GRID, -(-room * GRID // window)), least - 1, -1):
+        at = bisect_right(classes[k], room, key=lambda u: u[0])
+        if at:
+            return classes[k].pop(at - 1)
+    return classes[least].pop()
+
+
 def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """The container number of each item; every size is between 1 and ``capacity``."""
     n = len(sizes)
@@ -143,9 +153,13 @@ def fill(sizes: np.ndarray, capacity: int) -> np.ndarray:
         for j in np.argsort(-repeats):
             combination = COMBINATIONS[j]
             need = {k: combination.count(k) for k in combination}
-            times = min(int(repeats[j]), *(len(classes[k]) // m for k, m in need.items()))
+            times = int(repeats[j])
             for _ in range(times):
-                parts = [classes[k].pop() for k in combination]
+                if any(len(classes[k]) < m for k, m in need.items()):
+                    break
+                parts = [classes[k].pop() for k in combination[:-1]]
+                # the last part makes up for what rounding lengths up to the grid has left open
+                parts.append(largest(classes, window - sum(p[0] for p in parts), combination[-1], window))
                 made.append((sum(p[0] for p in parts), [i for p in parts for i in p[1]]))
         left = [u for c in classes for u in c]
         if window == capacity:
