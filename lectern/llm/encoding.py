@@ -21,6 +21,7 @@ whatever the corpus, and no text is shuffled.
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 import uuid
@@ -76,9 +77,9 @@ def _sloppy(page: str) -> dict[int, int]:
 
 TO_BYTE = {page: _sloppy(page) for page in PAGES}
 #: What a byte of each page was before anyone misread it.
-LETTERS = {page: {byte: letter for letter, byte in reversed(table.items())} for page, table in TO_BYTE.items()}
+LETTERS = {page: "".join(chr(dict((byte, letter) for letter, byte in reversed(table.items())).get(byte, byte)) for byte in range(256)) for page, table in TO_BYTE.items()}
 #: One-byte swaps as tables for translate(): misread letter to true letter.
-CIPHERS = {(x, y): {letter: LETTERS[y].get(byte, byte) for letter, byte in TO_BYTE[x].items() if byte > 0x7F} for x in PAGES for y in PAGES if x != y}
+CIPHERS = {(x, y): {letter: LETTERS[y][byte] for letter, byte in TO_BYTE[x].items() if byte > 0x7F} for x in PAGES for y in PAGES if x != y}
 
 
 def read(word: str, swap: tuple[str, str]) -> str | None:
@@ -105,22 +106,47 @@ def swaps(word: str) -> Iterator[tuple[tuple[str, str], str]]:
             if (back := read(word, (wrong, "utf-8"))) is not None:
                 yield (wrong, "utf-8"), back
         return
-    high = [ord(c) for c in word if c > "\x7f"]
+    high = {ord(c) for c in word if c > "\x7f"}
+    known: dict[bytes, list[tuple[str, str]]] = {}
     for wrong in PAGES:
         table = TO_BYTE[wrong]
-        if all(c in table for c in high):
-            for true in (*WIDE, *PAGES):
-                if true != wrong and (back := read(word, (wrong, true))) is not None and back != word:
-                    yield (wrong, true), back
+        if not high <= table.keys():
+            continue
+        raw = word.translate(table).encode("latin-1")
+        if raw not in known:
+            # pages that agree on the word's letters share their readings
+            known[raw] = list(decoded(raw, word))
+        for true, back in known[raw]:
+            if true != wrong:
+                yield (wrong, true), back
+
+
+def decoded(raw: bytes, word: str) -> Iterator[tuple[str, str]]:
+    """The encodings in which ``raw`` is a text other than ``word``."""
+    for true in WIDE:
+        try:
+            back = raw.decode(true)
+        except UnicodeDecodeError:
+            continue
+        if len(back) < len(word):
+            yield true, back
+    for true in PAGES:
+        back = codecs.charmap_decode(raw, "strict", LETTERS[true])[0]
+        if back != word:
+            yield true, back
 
 
 def pair(a: str, b: str) -> int:
     return ((ord(a) * 0x9E3779B1) ^ (ord(b) * 0x85EBCA77) ^ (ord(b) >> 3)) & (SIZE - 1)
 
 
+def framed(word: str) -> str:
+    return f"^{word.lower() if word[1:].islower() else word}$"
+
+
 def pairs(word: str) -> list[int]:
     """Hashed bigrams of a word, without those of two plain characters."""
-    padded = f"^{word.lower() if word[1:].islower() else word}$"
+    padded = framed(word)
     return [pair(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" and a not in MARKS or b > "\x7f" and b not in MARKS]
 
 
@@ -146,10 +172,13 @@ class Model:
 
     def _readings(self, word: str) -> tuple[tuple[tuple[str, str], str, float], ...]:
         """Swaps that read ``word`` better than it stands, the best first."""
-        stands = self.score(word)
-        found = []
+        found, scores, stands = [], {}, None
         for swap, back in swaps(word):
-            s = self.score(back, 1 + len(back) / 6)
+            if stands is None:  # most words can't have been read from anything else
+                stands = self.score(word)
+            s = scores.get(back)
+            if s is None:
+                s = scores[back] = self.score(back, 1 + len(back) / 6)
             gain = s - stands
             if swap[1] == "utf-8":
                 # valid sequences of several bytes do not come about by chance, however often the misreading is met
@@ -219,13 +248,24 @@ def bigrams(rows: DataFrame) -> np.ndarray:
     return counts
 
 
+def pair_counts(words: pd.Series, n: pd.Series) -> np.ndarray:
+    """Counts of hashed bigrams of many words at once; equals adding up ``pairs``."""
+    padded = [framed(w) for w in words]
+    code = np.frombuffer("".join(padded).encode("utf-32-le"), "<u4").astype(np.int64)
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    a, b = code[:-1], code[1:]
+    odd = (code > 0x7F) & ~np.isin(code, [ord(c) for c in MARKS])
+    use = odd[:-1] | odd[1:]
+    use[np.cumsum(size)[:-1] - 1] = False  # from the end of one word to the start of the next
+    weight = np.repeat(n.to_numpy(), size)[:-1]
+    at = ((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (b >> 3)) & (SIZE - 1)
+    return np.bincount(at[use], weights=weight[use], minlength=SIZE)
+
+
 def count_pairs(words: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            table = np.zeros(SIZE)
-            for word, n in zip(b["word"], b["n"]):
-                for p in pairs(word):
-                    table[p] += n
+            table = pair_counts(b["word"], b["n"])
             at = np.flatnonzero(table)
             yield pd.DataFrame({"bucket": at, "n": table[at].astype("int64")})
 
