@@ -155,7 +155,8 @@ class Model:
 
     def __init__(self, counts: np.ndarray):
         total = max(counts.sum(), 1.0)
-        self.value = np.log((counts + UNSEEN) / total / BACKGROUND).clip(-4.0, 10.0).tolist()
+        # in a small corpus a pair met once or twice says as little
+        self.value = np.log((counts + UNSEEN) / total / max(BACKGROUND, 2.0 / total)).clip(-4.0, 10.0).tolist()
         self.readings = lru_cache(maxsize=1 << 17)(self._readings)
 
     def score(self, word: str, misses: float = math.inf) -> float:
@@ -176,6 +177,9 @@ class Model:
         for swap, back in swaps(word):
             if stands is None:  # most words can't have been read from anything else
                 stands = self.score(word)
+            if swap[1] == "utf-8" and swap[0] in TO_BYTE:
+                while (again := read(back, swap)) is not None:  # misread more than once
+                    back = again
             s = scores.get(back)
             if s is None:
                 s = scores[back] = self.score(back, 1 + len(back) / 6)

@@ -32,6 +32,8 @@ IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿]")
 WORDS, CHARS = 4, 5  # tokens of a test string: in words, in ideographs
 SEP, UNKNOWN = -2, -1
 STRIPE = 256
+#: Least share of an occurrence's text that belongs to the item; the rest is edits and short insertions.
+DENSE = 0.65
 
 
 def tokens(text: str) -> list[str]:
@@ -214,21 +216,29 @@ def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarr
             chain.append(k)
             k = link[k]
         chain.reverse()
-        held, ps, pp = m, s[chain[0]] + m, p[chain[0]] + m  # tokens held; ends in text and item
+        # steps of the chain: tokens held, and where in the text each begins and ends
+        steps = [(m, s[chain[0]], s[chain[0]] + m)]
+        ps, pp = s[chain[0]] + m, p[chain[0]] + m
         for k in chain[1:]:
             gs, gp = s[k] - ps, p[k] - pp
             if gs >= 0 and gp >= 0:
-                if 0 < gp <= 12 and 0 < gs <= 16:
-                    held += common(item[pp : p[k]], stream[ps : s[k]])
-                held += m
+                between = common(item[pp : p[k]], stream[ps : s[k]]) if 0 < gp <= 12 and 0 < gs <= 16 else 0
+                steps.append((m + between, s[k], s[k] + m))
                 ps, pp = s[k] + m, p[k] + m
             else:  # overlaps the last one: count only what is new on both sides
                 new = min(s[k] + m - ps, p[k] + m - pp)
                 if new > 0:
-                    held += new
+                    steps.append((new, s[k], s[k] + m))
                     ps, pp = s[k] + m, p[k] + m
-        if held >= need:
-            return True
+        # some stretch of the chain must hold enough, with no more than short insertions in between
+        held, first = 0, 0
+        for got, _, end in steps:
+            held += got
+            while held - steps[first][0] >= need:
+                held -= steps[first][0]
+                first += 1
+            if held >= need and held >= DENSE * (end - steps[first][1]):
+                return True
     return False
 
 
