@@ -1,4 +1,4 @@
-"""Cutting long plans: results that several later steps read are written once."""
+"""How results are laid out: written once for several readers, spread over the cores."""
 
 from __future__ import annotations
 
@@ -17,3 +17,13 @@ def durable(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A table in fewer files than cores would be read, and worked on, by as many
+    tasks; only such small ones are moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

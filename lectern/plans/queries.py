@@ -13,7 +13,7 @@ from ..operators import notes, numbering, scoring, sentences
 from ..sources import dom, epub
 from . import pipeline
 from . import provider as P
-from .durable import durable
+from .durable import durable, spread
 from .sql import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def english(spark: SparkSession, folder: str) -> DataFrame:
     """English documents as chapters."""
-    return table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"))
 
 
 def split(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,7 @@ def hard_sentences(spark, folder):
 
 @query
 def sentence_split(spark, folder):
-    lines = sentences.paragraphs(table(spark, folder, "documents").select("doc_id", "text"), index="pi")
+    lines = sentences.paragraphs(spread(table(spark, folder, "documents").select("doc_id", "text")), index="pi")
     return sentences.sentences(lines, index="si", out="s")
 
 
