@@ -29,7 +29,7 @@ GARBLED = [
     ("ru", CLEAN["ru"].encode("cp1251").decode("latin-1")),
     ("ru", CLEAN["ru"].encode("koi8_r").decode("cp1251", "replace").replace("�", "Ј")),
     ("zh", CLEAN["zh"].encode("gb18030").decode("latin-1")),
-    ("en", CLEAN["en"].replace("“", "â€œ")),
+    ("en", CLEAN["en"].replace("—", "â€”")),
 ]
 
 
