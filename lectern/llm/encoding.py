@@ -51,6 +51,8 @@ BACKGROUND, UNSEEN = 2e-6, 0.02
 #: Evidence, in nats, that a word needs to count, to be restored on its own, and that a document needs.
 WORD_LEAST, WORD_GAIN, DOC_GAIN = 3.0, 7.0, 6.0
 MARKS = "“”‘’—–…"
+#: Different words of weak evidence that must agree on a swap.
+AGREEING = 3
 #: Log weight of a swap not met in a source.
 RARE = -6.0
 PLAIN = "\\x00-\\x7f" + MARKS
@@ -217,7 +219,11 @@ def plain(text: str) -> bool:
 
 def speaks(word: str, swap: tuple[str, str]) -> bool:
     """Whether a reading of ``word`` is evidence: one letter alone is none, save for sequences of several bytes."""
-    return swap[1] in WIDE or len(word.strip("\"'.,;:!?()[]-“”‘’—–…")) > 1
+    return swap[1] in WIDE or len(bare(word)) > 1
+
+
+def bare(word: str) -> str:
+    return word.strip("\"'.,;:!?()[]-“”‘’—–…")
 
 
 def odd_words(text: str) -> Iterator[str]:
@@ -332,11 +338,19 @@ def restore(text: str, model: Model, prior: dict[tuple[str, str], float]) -> tup
     garbled = LOST in text
     for _ in range(3):  # text is sometimes misread more than once
         evidence: dict[tuple[str, str], float] = {}
+        weak: dict[tuple[str, str], dict[str, float]] = {}
         words = [w for w in odd_words(text) if LOST not in w]
         for word in words:
             for swap, _, gain in model.readings(word):
-                if gain >= WORD_GAIN and speaks(word, swap):
-                    evidence[swap] = evidence.get(swap, 0.0) + gain
+                if speaks(word, swap):
+                    if gain >= WORD_GAIN:
+                        evidence[swap] = evidence.get(swap, 0.0) + gain
+                    else:
+                        weak.setdefault(swap, {})[bare(word)] = gain
+        for swap, gains in weak.items():
+            # words that say little alone, as in a garbled language the corpus has little of, agree on one swap
+            if len(gains) >= AGREEING:
+                evidence[swap] = evidence.get(swap, 0.0) + sum(gains.values())
         if not evidence:
             break
         swap = max(evidence, key=lambda h: evidence[h] + 0.5 * prior.get(h, RARE))
