@@ -6,15 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Paragraphs of a chapter that are numbered in one window.
+STRETCH = 4096
+
+
 def note_ids(df: DataFrame, chapter: list[str], paragraph: str = "para_idx", out: str = "note_id") -> DataFrame:
     """Numbers the paragraphs that occur from 1 within each chapter; rows of one paragraph share a number.
 
-    The paragraphs are numbered on their own, one row each, and joined back,
-    so a long chapter never meets its sentences in one window.
+    The paragraphs are numbered on their own, one row each, in stretches of a
+    chapter, and joined back: neither the sentences nor the paragraphs of a
+    very long chapter ever meet in one window.
     """
-    distinct = df.select(*chapter, paragraph).distinct()
-    numbered = distinct.withColumn(out, F.row_number().over(Window.partitionBy(*chapter).orderBy(paragraph)))
-    return df.drop(out).join(numbered, [*chapter, paragraph])
+    stretch = F.floor(F.col(paragraph) / STRETCH).alias("_stretch")
+    distinct = df.select(*chapter, paragraph).distinct().select("*", stretch)
+    before = Window.partitionBy(*chapter).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = distinct.groupBy(*chapter, "_stretch").agg(F.count("*").alias("_n"))
+    offsets = sizes.select(*chapter, "_stretch", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*chapter, "_stretch").orderBy(paragraph))
+    numbered = distinct.withColumn("_k", within).join(offsets, [*chapter, "_stretch"])
+    return df.drop(out).join(numbered.select(*chapter, paragraph, (F.col("_before") + F.col("_k")).cast("int").alias(out)), [*chapter, paragraph])
 
 
 def last_positions(spine: DataFrame) -> DataFrame:

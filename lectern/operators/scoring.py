@@ -22,7 +22,9 @@ RANGES = {"n_tok": (5, 80), "depth": (1, 16), "sub_clauses": (0, 5), "hard_ratio
 def features(df: DataFrame, sentence: str = "sentence") -> DataFrame:
     """Adds n_tok, n_word, sub_clauses, depth and flesch of each sentence, by rule."""
     s = F.col(sentence)
-    out = df.withColumns({"n_tok": T.count(s, T.TOKEN), "n_word": T.count(s, T.WORD), "_syl": T.count(F.lower(s), T.VOWELS), "sub_clauses": T.clause_words(s), "_breaks": T.count(s, T.BREAKS)})
+    counts = F.struct(T.count(s, T.TOKEN).alias("n_tok"), T.count(s, T.WORD).alias("n_word"), T.count(F.lower(s), T.VOWELS).alias("_syl"), T.clause_words(s).alias("sub_clauses"), T.count(s, T.BREAKS).alias("_breaks"))
+    # exploding one struct keeps the patterns from being inlined, and run again, wherever a count is used
+    out = df.select(*[c for c in df.columns if c not in ("n_tok", "n_word", "sub_clauses")], F.inline(F.array(counts)))
     steps = F.floor(F.ln(F.col("n_tok").cast("double")) / F.ln(F.lit(2.0)))
     depth = F.least(F.lit(16), F.lit(1) + F.col("_breaks") + F.col("sub_clauses") + steps.cast("int"))
     return out.withColumns({"depth": depth, "flesch": T.flesch(F.col("n_word"), F.col("_syl"))}).drop("_syl", "_breaks")
@@ -49,16 +51,20 @@ def lexicon(df: DataFrame, text: str = "text") -> DataFrame:
     return counts.select("word", "cnt", F.log10(F.col("cnt") * F.lit(1e9) / total).alias("zipf"))
 
 
-def rare_word_ratio(df: DataFrame, words: DataFrame, keys: list[str], sentence: str = "sentence", out: str = "hard_ratio") -> DataFrame:
-    """(keys, out): share of rare words; words not listed are rare, no words give 0.
+def rare_word_ratio(df: DataFrame, words: DataFrame, keys: list[str], sentence: str = "sentence", out: str = "hard_ratio", keep: list[str] | None = None) -> DataFrame:
+    """(keys, keep, out): share of rare words; words not listed are rare, no words give 0.
 
     ``words`` holds (word, zipf); Spark decides by its size how to join it.
+    The words of a row stay together until they are counted, so they are
+    counted before anything is shuffled if the list is small.  Repeated rows
+    count once; ``keep`` names columns that depend on the keys.
     """
-    each = df.select(*keys, F.explode_outer(T.words(sentence)).alias("_w"))
+    keep = keep or []
+    each = df.select(*keys, *keep, F.explode_outer(T.words(sentence)).alias("_w"))
     known = words.select(F.col("word").alias("_w"), F.col("zipf").alias("_z"))
-    rated = each.join(known, "_w", "left").groupBy(*keys)
     rare = F.count_if(F.col("_w").isNotNull() & (F.coalesce(F.col("_z"), F.lit(0.0)) < RARE))
-    return rated.agg((F.coalesce(rare / F.nullif(F.count("_w"), F.lit(0)), F.lit(0.0))).alias(out))
+    share = F.coalesce(rare / F.nullif(F.count("_w"), F.lit(0)), F.lit(0.0)).alias(out)
+    return each.join(known, "_w", "left").groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in keep], share)
 
 
 def scored(df: DataFrame, words: DataFrame, keys: list[str], sentence: str = "sentence", hard_only: bool = False) -> DataFrame:
@@ -71,8 +77,8 @@ def scored(df: DataFrame, words: DataFrame, keys: list[str], sentence: str = "se
     df = features(df.select(*keys, sentence), sentence)
     if hard_only:
         df = df.where(score(hard_ratio=F.lit(1.0)) > F.lit(HARD - 1e-9))
-    ratio = rare_word_ratio(df, words, keys, sentence)
-    out = df.join(ratio, keys).withColumn("score", score())
+    kept = [sentence, "n_tok", "n_word", "sub_clauses", "depth", "flesch"]
+    out = rare_word_ratio(df, words, keys, sentence, keep=kept).withColumn("score", score())
     return out.where(is_hard()) if hard_only else out
 
 

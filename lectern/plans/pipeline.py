@@ -27,7 +27,8 @@ def annotated(paragraphs: DataFrame, key: list[str], lexicon: DataFrame, text: s
     """As ``hard_sentences``, from paragraphs (key, para_idx, text)."""
     split = sentences.sentences(paragraphs.select(*key, "para_idx", text), text)
     kept = sentences.scorable(split)
-    hard = scoring.scored(kept, lexicon, [*key, "para_idx", "sent_idx"], hard_only=True)
+    # few rows, read by their numbering and by what is numbered
+    hard = durable(scoring.scored(kept, lexicon, [*key, "para_idx", "sent_idx"], hard_only=True))
     return numbering.note_ids(hard, key).select(*key, "note_id", "para_idx", "sent_idx", "score", "sentence")
 
 
