@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..plans.durable import durable, spread
+
+__all__ = ["CHAPTER", "SENTENCE", "durable", "spread", "table"]
 
 #: Columns that name one sentence, and one chapter.
 SENTENCE = ["book_id", "spine_idx", "para_idx", "sent_idx"]
 CHAPTER = ["book_id", "spine_idx"]
+#: Tables whose texts are worked on.
+LARGE = {"documents", "notes", "paragraphs", "sentences"}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The parquet table ``name`` of ``folder``."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    used only if the session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern"))
-    return df.checkpoint()
-
-
-def has(column: str):
-    """True where the string ``column`` is neither null nor empty."""
-    return F.coalesce(F.length(column) > 0, F.lit(False))
+    """The parquet table ``name`` of ``folder``; large ones over all cores even if they are few files."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in LARGE else df

@@ -253,8 +253,8 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 def bigrams(rows: DataFrame) -> np.ndarray:
     """Counts of hashed bigrams from rows (bucket, n): at most SIZE of them."""
     counts = np.zeros(SIZE)
-    for row in rows.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[row.bucket] = row.n
+    found = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
