@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import notes, numbering, scoring, sentences
 from ..sources import dom, epub
 from . import provider as P
+from . import runlog
 from .durable import durable
 
 
@@ -77,7 +79,16 @@ def annotate_books(files: DataFrame, lexicon: DataFrame | None = None, pattern:
     return Annotation(epub.changed(files, marked, added), explained, notes.totals(explained))
 
 
-def annotate_folder(spark: SparkSession, source: str, target: str, **options) -> DataFrame:
-    """Annotates all books below ``source`` and writes them to ``target``; (book_id, path, bytes) of each."""
+def annotate_folder(spark: SparkSession, source: str, target: str, logs: str | None = None, **options) -> DataFrame:
+    """Annotates all books below ``source`` and writes them to ``target``; (book_id, path, bytes) of each.
+
+    ``target`` is a folder that all executors share.  With ``logs`` the run's
+    totals are logged to a file there.
+    """
+    began = time.time()
     done = annotate_books(epub.entries(epub.read_books(spark, source)), **options)
-    return epub.write_books(epub.packed(done.entries), target)
+    written = durable(epub.write_books(epub.packed(done.entries), target))
+    if logs is not None:
+        runlog.log_to(logs)
+        runlog.log_totals(done.totals, time.time() - began)
+    return written

@@ -123,3 +123,13 @@ def test_unsafe_names(tmp_path, name):
         z.writestr(name, "x")
     with pytest.raises(ValueError):
         list(epub.unpack(path.read_bytes()))
+
+
+def test_folder_with_log(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    container(source)
+    lexicon = spark.createDataFrame([("the", 7.0)], "word string, zipf double")
+    done = pipeline.annotate_folder(spark, str(source), str(tmp_path / "out"), logs=str(tmp_path / "logs"), lexicon=lexicon).collect()
+    assert [r.book_id for r in done] == ["book"] and (tmp_path / "out" / "book.epub").stat().st_size == done[0].bytes
+    assert "n_notes 6" in next((tmp_path / "logs").glob("annotate_*.log")).read_text()
