@@ -12,7 +12,8 @@ bigrams of the corpus' own languages:
 
 With these weights each document is judged as a whole and its garbled words
 are restored with ``str.translate`` (one byte a letter) or by decoding the
-bytes again (several bytes a letter).
+bytes again (several bytes a letter).  CJK text has no spaces: its runs are
+read part by part, from one common boundary of the letters to another.
 
 Bigrams are counted in a hashed table of fixed size and sources share a fixed
 number of slots for their weights, so what is sent to the executors is bounded
@@ -58,9 +59,14 @@ RARE = -6.0
 PLAIN = "\\x00-\\x7f" + MARKS
 ODD = re.compile(rf"[^\x00-\x20]*[^{PLAIN}][^\x00-\x20]*")
 CJK = re.compile(r"[⺀-鿿豈-﫿＀-￯]")
-#: Runs of CJK text have no spaces; they are read in stretches of this many letters.
-STRETCH = 24
 LOST = "�"
+#: Part of a run of CJK text, which has no spaces: what a letter adds to the evidence by being valid, and what a part
+#: needs first, and needs where the document's swap is known.
+VALID, PART, KNOWN = 2.0, 12.0, 4.0
+#: What is left of one letter in UTF-8 when its end is lost.
+BROKEN = re.compile(rb"(?:[\xc2-\xdf]|[\xe0-\xef][\x80-\xbf]?|[\xf0-\xf4][\x80-\xbf]{0,2})\Z")
+TRAIL = bytes(range(0x80, 0xC0))
+UTF8 = re.compile(rb"(?:[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})")
 
 
 def _sloppy(page: str) -> dict[int, int]:
@@ -101,6 +107,66 @@ def read(word: str, swap: tuple[str, str]) -> str | None:
     return back if len(back) < len(word) or wrong not in TO_BYTE and back != word else None
 
 
+@lru_cache(maxsize=1 << 16)
+def encoded(letter: str, wrong: str) -> bytes | None:
+    try:
+        return letter.encode(wrong)
+    except UnicodeError:
+        return None
+
+
+@lru_cache(maxsize=None)
+def starts(wrong: str) -> re.Pattern:
+    """Letters with which a piece of ``atoms`` can begin: the others are passed over at once."""
+    able = [chr(c) for c in range(0x80, 0x10000) if (raw := encoded.__wrapped__(chr(c), wrong)) and ((m := UTF8.match(raw)) and (m.end() == len(raw) or UTF8.match(raw, m.end()) or BROKEN.match(raw, m.end())) or BROKEN.match(raw))]
+    return re.compile(rf"[\x00-\x7f{LOST}\U00010000-\U0010ffff{re.escape(''.join(able))}]|(?<={LOST}).")
+
+
+def atoms(run: str, wrong: str) -> list[tuple[int, int, str]]:
+    """(begin, end, back) of the least pieces of ``run`` that are UTF-8 read in ``wrong``, and of ASCII letters.
+
+    A piece begins and ends between letters of both encodings.  A letter of
+    which bytes are lost is read as U+FFFD.
+    """
+    out, k, n, start = [], 0, len(run), starts(wrong)
+    while m := start.search(run, k):
+        k = m.start()
+        if run[k] <= "\x7f":
+            out.append((k, k + 1, run[k]))
+            k += 1
+            continue
+        raw, back, at, e = b"", "", 0, k
+        while e < n and run[e] > "\x7f" and run[e] != LOST and (more := encoded(run[e], wrong)) is not None:
+            raw += more
+            e += 1
+            if k and run[k - 1] == LOST and not at:
+                at = len(raw[:3]) - len(raw[:3].lstrip(TRAIL))
+            while m := UTF8.match(raw, at):
+                try:
+                    back += m[0].decode()
+                except UnicodeDecodeError:  # surrogates, overlong forms
+                    break
+                at = m.end()
+            if at == len(raw) or len(raw) - at > 3 or not BROKEN.match(raw, at):
+                break
+        if at == len(raw) > 0:
+            out.append((k, e, back))
+            k = e
+        elif e < n and run[e] in LOST + "?" and (e == k or BROKEN.match(raw, at)):
+            # "?" is kept: it may be a mark of the text as well as a lost byte
+            out.append((k, e + (run[e] == LOST), back + LOST))
+            k = max(k + 1, out[-1][1])
+        else:
+            k += 1
+    return out
+
+
+def stray(edge: tuple[int, int, str], beside: tuple[int, int, str]) -> bool:
+    """Whether the piece ``edge`` is a single letter that is CJK only as it stands, and the one ``beside`` is CJK when restored."""
+    begin, end, back = edge
+    return end - begin == 1 and back > "\x7f" and back != LOST and not CJK.search(back) and bool(CJK.search(beside[2]))
+
+
 def swaps(word: str) -> Iterator[tuple[tuple[str, str], str]]:
     """The swaps that can have made ``word``, with the word before them."""
     if CJK.search(word):
@@ -108,13 +174,13 @@ def swaps(word: str) -> Iterator[tuple[tuple[str, str], str]]:
             if (back := read(word, (wrong, "utf-8"))) is not None:
                 yield (wrong, "utf-8"), back
         return
-    high = {ord(c) for c in word if c > "\x7f"}
-    known: dict[bytes, list[tuple[str, str]]] = {}
+    high = {ord(c) for c in word if c > "\x7f" and c != LOST}
+    known: dict[tuple[bytes, ...], list[tuple[str, str]]] = {}
     for wrong in PAGES:
         table = TO_BYTE[wrong]
         if not high <= table.keys():
             continue
-        raw = word.translate(table).encode("latin-1")
+        raw = tuple(part.translate(table).encode("latin-1") for part in word.split(LOST))
         if raw not in known:
             # pages that agree on the word's letters share their readings
             known[raw] = list(decoded(raw, word))
@@ -123,21 +189,36 @@ def swaps(word: str) -> Iterator[tuple[tuple[str, str], str]]:
                 yield (wrong, true), back
 
 
-def decoded(raw: bytes, word: str) -> Iterator[tuple[str, str]]:
-    """The encodings in which ``raw`` is a text other than ``word``."""
+def decoded(raw: tuple[bytes, ...], word: str) -> Iterator[tuple[str, str]]:
+    """The encodings in which ``raw``, cut where bytes are lost, is a text other than ``word``."""
     for true in WIDE:
         try:
-            back = raw.decode(true)
+            back = raw[0].decode(true) if len(raw) == 1 else mended(raw, true)
         except UnicodeDecodeError:
             continue
         if len(back) < len(word):
             yield true, back
     for true in PAGES:
-        back = codecs.charmap_decode(raw, "strict", LETTERS[true])[0]
+        back = LOST.join(codecs.charmap_decode(part, "strict", LETTERS[true])[0] for part in raw)
         if back != word:
             yield true, back
 
 
+def mended(raw: tuple[bytes, ...], true: str) -> str:
+    """``raw`` decoded; what a loss leaves of a letter on either side is lost with it."""
+    out = []
+    for k, part in enumerate(raw):
+        for skip in range(4 if k else 1):
+            try:
+                # a letter begun before a loss is dropped by not ending the decoder
+                out.append(codecs.getincrementaldecoder(true)().decode(part[skip:], k == len(raw) - 1))
+                break
+            except UnicodeDecodeError:
+                if skip == (3 if k else 0):
+                    raise
+    return LOST.join(out)
+
+
 def pair(a: str, b: str) -> int:
     return ((ord(a) * 0x9E3779B1) ^ (ord(b) * 0x85EBCA77) ^ (ord(b) >> 3)) & (SIZE - 1)
 
@@ -147,8 +228,14 @@ def framed(word: str) -> str:
 
 
 def pairs(word: str) -> list[int]:
-    """Hashed bigrams of a word, without those of two plain characters."""
+    """Hashed bigrams of a word, without those of two plain characters or of a lost one."""
     padded = framed(word)
+    if LOST in padded:
+        return [p for part in padded.split(LOST) for p in between(part)]
+    return between(padded)
+
+
+def between(padded: str) -> list[int]:
     return [pair(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" and a not in MARKS or b > "\x7f" and b not in MARKS]
 
 
@@ -173,6 +260,48 @@ class Model:
                     return -math.inf
         return total
 
+    def parts(self, run: str, wrong: str, cost: float = PART) -> tuple[str, float]:
+        """``run`` with its parts restored that are UTF-8 read in ``wrong``, and the evidence for them."""
+        value = lambda a, b: 0.0 if LOST in (a, b) or a <= "\x7f" and b <= "\x7f" else self.value[pair(a, b)]
+        each, out, gain, done, k = atoms(run, wrong), [], 0.0, 0, 0
+        while k < len(each):
+            begin, end, back = each[k]
+            alone = (not k or each[k - 1][1] < begin) and (k + 1 == len(each) or each[k + 1][0] > end)
+            if alone and VALID * (end - begin) + 14.0 * (end - begin + len(back) - 2) < cost + WORD_LEAST:
+                k += 1  # no bigrams can say enough
+                continue
+            # the best part from here on: it ends where nothing speaks for it any more
+            total, best, stop, first, last = 0.0, 0.0, k, k, ""
+            j = k
+            while j < len(each) and (j == k or each[j][0] == each[j - 1][1]):
+                begin, end, back = each[j]
+                if run[begin:end] != back:
+                    if total <= 0.0:
+                        # what stands before it is a neighbour of either reading
+                        total, first, last = 0.0, j, run[max(0, begin - 1) : begin]
+                    text = last + back
+                    stood = run[begin - bool(last) : end]
+                    total += sum(map(value, text, text[1:])) - sum(map(value, stood, stood[1:])) + VALID * sum(c > "\x7f" and c != LOST for c in run[begin:end])
+                    if total > best:
+                        best, start, stop = total, first, j + 1
+                    elif total < best - cost:
+                        break
+                elif last:
+                    total += value(last, back) - value(run[begin - 1], back)
+                last = back[-1] if back else last
+                j += 1
+            if best - cost >= WORD_LEAST:
+                # a sound letter at the edge, valid by chance, is of another script than the part
+                while stop - start > 1 and stray(each[start], each[start + 1]):
+                    start += 1
+                while stop - start > 1 and stray(each[stop - 1], each[stop - 2]):
+                    stop -= 1
+                out += [run[done : each[start][0]], *(back for _, _, back in each[start:stop])]
+                done, gain, k = each[stop - 1][1], gain + best - cost, stop
+            else:
+                k = max(j, k + 1)
+        return "".join(out) + run[done:], gain
+
     def _readings(self, word: str) -> tuple[tuple[tuple[str, str], str, float], ...]:
         """Swaps that read ``word`` better than it stands, the best first."""
         found, scores, stands = [], {}, None
@@ -187,12 +316,19 @@ class Model:
                 s = scores[back] = self.score(back, 1 + len(back) / 6)
             gain = s - stands
             if swap[1] == "utf-8":
+                kept = back.replace(LOST, "")
                 # valid sequences of several bytes do not come about by chance, however often the misreading is met
-                gain = max(gain, 0.0) + min(14.0, 4.0 + 3.0 * (len(back.encode()) - len(back)))
+                gain = max(gain, 0.0) + min(14.0, 4.0 + 3.0 * (len(kept.encode()) - len(kept)))
                 s = max(s, 1.0) if plain(back) else s
             # a reading must be the languages' own, not merely less odd
             if s > 0 and gain >= WORD_LEAST:
                 found.append((swap, back, gain))
+        if CJK.search(word):
+            for wrong in WIDE_READ:
+                if all(swap[0] != wrong for swap, _, _ in found):
+                    back, gain = self.parts(word, wrong)
+                    if gain:
+                        found.append(((wrong, "utf-8"), back, gain))
         return tuple(sorted(found, key=lambda f: -f[2])[:24])
 
 
@@ -226,14 +362,35 @@ def bare(word: str) -> str:
     return word.strip("\"'.,;:!?()[]-“”‘’—–…")
 
 
+#: What stands between the CJK letters of a run.
+OTHER = re.compile(rf"(?:^|(?<=[⺀-鿿豈-﫿＀-￯]))[^⺀-鿿豈-﫿＀-￯]*[^{PLAIN}{LOST}⺀-鿿豈-﫿＀-￯][^⺀-鿿豈-﫿＀-￯]*")
+
+
 def odd_words(text: str) -> Iterator[str]:
-    """Words with a character that is neither ASCII nor common punctuation."""
+    """Words with a character that is neither ASCII nor common punctuation.
+
+    A run with CJK letters has no spaces: it is a word, and what stands between
+    its CJK letters are words of their own.
+    """
     for word in ODD.findall(text):
-        if len(word) <= STRETCH:
-            yield word
-        else:
-            step = STRETCH if CJK.search(word) else 4096
-            yield from (part for k in range(0, len(word), step) if not plain(part := word[k : k + step]))
+        yield word
+        if CJK.search(word):
+            yield from OTHER.findall(word)
+
+
+def reread(text: str, model: Model, swap: tuple[str, str]) -> str:
+    """``text`` with every word restored that ``swap`` reads better."""
+
+    def back(m: re.Match) -> str:
+        word = m[0]
+        if CJK.search(word):
+            if swap[0] not in WIDE_READ:
+                return OTHER.sub(back, word)
+            if read(word, swap) is None:
+                return model.parts(word, swap[0], KNOWN)[0]
+        return next((b for h, b, _ in model.readings(word) if h == swap), word)
+
+    return ODD.sub(back, text)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -265,7 +422,7 @@ def pair_counts(words: pd.Series, n: pd.Series) -> np.ndarray:
     size = np.fromiter(map(len, padded), np.int64, len(padded))
     a, b = code[:-1], code[1:]
     odd = (code > 0x7F) & ~np.isin(code, [ord(c) for c in MARKS])
-    use = odd[:-1] | odd[1:]
+    use = (odd[:-1] | odd[1:]) & (a != ord(LOST)) & (b != ord(LOST))
     use[np.cumsum(size)[:-1] - 1] = False  # from the end of one word to the start of the next
     weight = np.repeat(n.to_numpy(), size)[:-1]
     at = ((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (b >> 3)) & (SIZE - 1)
@@ -291,7 +448,7 @@ def expect(words: DataFrame, counts: np.ndarray) -> DataFrame:
         for b in batches:
             rows = []
             for word in b["word"]:
-                top = model.readings(word)[:1] if LOST not in word else ()
+                top = model.readings(word)[:1]
                 rows.append((*top[0][0], top[0][1]) if top and top[0][2] >= WORD_GAIN and speaks(word, top[0][0]) else (None, None, None))
             yield b.assign(**{c: [r[k] for r in rows] for k, c in enumerate(("wrong", "true", "back"))})
 
@@ -339,8 +496,7 @@ def restore(text: str, model: Model, prior: dict[tuple[str, str], float]) -> tup
     for _ in range(3):  # text is sometimes misread more than once
         evidence: dict[tuple[str, str], float] = {}
         weak: dict[tuple[str, str], dict[str, float]] = {}
-        words = [w for w in odd_words(text) if LOST not in w]
-        for word in words:
+        for word in odd_words(text):
             for swap, _, gain in model.readings(word):
                 if speaks(word, swap):
                     if gain >= WORD_GAIN:
@@ -357,12 +513,7 @@ def restore(text: str, model: Model, prior: dict[tuple[str, str], float]) -> tup
         if evidence[swap] + 0.5 * max(prior.get(swap, RARE), RARE) < DOC_GAIN:
             break
         garbled = True
-        fixed = text
-        for word in dict.fromkeys(words):
-            for h, back, _ in model.readings(word):
-                if h == swap:
-                    fixed = fixed.replace(word, back)
-                    break
+        fixed = reread(text, model, swap)
         if fixed == text:
             break
         text = fixed

@@ -76,3 +76,37 @@ def test_ciphers_read_back_every_letter():
             except UnicodeDecodeError:
                 continue
             assert misread.translate(table) == letter
+
+
+#: Beginnings of differing length: sound text, a digit, a Latin word.
+BEFORE = ["她说", "邻居的孩子", "2024", "Ardwick", ""]
+
+
+@pytest.fixture(scope="module")
+def model():
+    words = pd.Series([w for w in E.odd_words(CLEAN["zh"])] + [w for w in E.odd_words(CLEAN["fr"])])
+    return E.Model(E.pair_counts(words, pd.Series([60] * len(words))))
+
+
+@pytest.mark.parametrize("before", BEFORE)
+@pytest.mark.parametrize(("wrong", "back"), [("gb18030", "船长在桥边卖掉了红色的灯�"), ("shift_jis", "船长在桥边卖掉�红色�灯笼")])
+def test_garbled_part_of_a_run(model, before, wrong, back):
+    misread = "船长在桥边卖掉了红色的灯笼".encode().decode(wrong, "replace")
+    assert E.restore(before + misread, model, {}) == (True, before + back)
+
+
+def test_lost_bytes_cost_only_their_letters(model):
+    clean = CLEAN["zh"]
+    garbled, text = E.restore("她说" + clean.encode().decode("gb18030", "replace"), model, {})
+    assert garbled and E.LOST in text
+    assert sum(text.count(c) for c in set(clean)) >= 0.85 * len(clean)
+
+
+def test_one_byte_misreading_beside_sound_cjk(model):
+    sound = "船长在桥边卖掉了红色的灯笼"
+    assert E.restore(sound + "â€œ" + sound, model, {}) == (True, sound + "“" + sound)
+
+
+def test_sound_cjk_stays(model):
+    for text in (CLEAN["zh"], "2024年" + CLEAN["zh"], CLEAN["zh"] + "联通·很好Python联"):
+        assert E.restore(text, model, {}) == (False, text)
