@@ -36,6 +36,10 @@ STRIPE = 256
 DENSE = 0.65
 
 
+#: Most tokens of the item between two neighbours of a chain that still count.
+GAP = 12
+
+
 def tokens(text: str) -> list[str]:
     """Normalised tokens: case, punctuation, width and layout set aside."""
     if not text.isascii():
@@ -151,8 +155,8 @@ class Block:
             doc, item, pos, start = doc[order], item[order], pos[order], start[order]
             edge = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0), [True]]))
             sizes = np.array([len(t) for t in self.texts])
-            # at least half of the item, an edit every few tokens: fewer occurrences can't do
-            enough = np.diff(edge) >= np.maximum(1, 0.1 * sizes[item[edge[:-1]]])
+            # at least half of the item: fewer occurrences can't do
+            enough = np.diff(edge) * (matcher.m + GAP) >= 0.5 * sizes[item[edge[:-1]]]
             for a, b in zip(edge[:-1][enough], edge[1:][enough]):
                 k = int(item[a])
                 if holds(stream, self.texts[k], start[a:b], pos[a:b], matcher.m):
@@ -182,13 +186,14 @@ def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarr
     ``start`` and ``pos`` are occurrences of the item's test strings.  They are
     chained to the longest run that rises in both; what lies between two
     neighbours of the chain counts by longest common subsequence if both gaps
-    are short.
+    are short.  Every stretch is chained whose distinct positions can reach
+    the share.
     """
     n = len(item)
     need, reach = share * n, int(1.5 * n) + 12
-    # the stretch of at most `reach` tokens with the most distinct positions
+    # the stretches of at most `reach` tokens: those with more distinct positions than all before, and those that can't be extended
     begin = 0
-    best, seen, spans = 0, {}, []
+    best, seen, spans, whole = 0, {}, [], []
     for end in range(len(start)):
         seen[pos[end]] = seen.get(pos[end], 0) + 1
         while start[end] - start[begin] > reach:
@@ -199,7 +204,10 @@ def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarr
         if len(seen) > best:
             best = len(seen)
             spans.append((begin, end + 1))
-    for begin, end in spans[-1:-4:-1]:
+        if (end + 1 == len(start) or start[end + 1] - start[begin] > reach) and len(seen) * (m + GAP) >= need:
+            whole.append((len(seen), begin, end + 1))
+    first = spans[-1:-4:-1]
+    for begin, end in dict.fromkeys([*first, *((b, e) for _, b, e in sorted(whole, reverse=True))]):
         s, p = start[begin:end], pos[begin:end]
         tails, link, last = [], [-1] * len(s), []
         # longest chain rising in both; equal starts are visited from the highest position down
@@ -222,7 +230,7 @@ def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarr
         for k in chain[1:]:
             gs, gp = s[k] - ps, p[k] - pp
             if gs >= 0 and gp >= 0:
-                between = common(item[pp : p[k]], stream[ps : s[k]]) if 0 < gp <= 12 and 0 < gs <= 16 else 0
+                between = common(item[pp : p[k]], stream[ps : s[k]]) if 0 < gp <= GAP and 0 < gs <= 16 else 0
                 steps.append((m + between, s[k], s[k] + m))
                 ps, pp = s[k] + m, p[k] + m
             else:  # overlaps the last one: count only what is new on both sides
@@ -231,13 +239,13 @@ def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarr
                     steps.append((new, s[k], s[k] + m))
                     ps, pp = s[k] + m, p[k] + m
         # some stretch of the chain must hold enough, with no more than short insertions in between
-        held, first = 0, 0
-        for got, _, end in steps:
+        held, low = 0, 0
+        for got, _, stop in steps:
             held += got
-            while held - steps[first][0] >= need:
-                held -= steps[first][0]
-                first += 1
-            if held >= need and held >= DENSE * (end - steps[first][1]):
+            while held - steps[low][0] >= need:
+                held -= steps[low][0]
+                low += 1
+            if held >= need and held >= DENSE * (stop - steps[low][1]):
                 return True
     return False
 

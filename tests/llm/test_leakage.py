@@ -67,3 +67,12 @@ def test_ideographs_and_short_items(spark):
     docs = spark.createDataFrame([(1, "前文。船长在桥边卖掉了\n红色的灯笼，后来走了。"), (2, "红色的灯笼卖掉了船长在桥边"), (3, "the word only")], "doc_id bigint, text string")
     items = spark.createDataFrame([(1, "船长在桥边卖掉了红色的灯笼"), (2, "only"), (3, "word only")], "item_id bigint, text string")
     assert {tuple(r) for r in L.leaks(docs, items).collect()} == {(1, 1), (3, 2), (3, 3)}
+
+
+def test_leak_behind_a_shuffled_stretch():
+    item = [f"w{k}" for k in range(60)]
+    blocks = [item[k : k + 6] for k in range(0, 60, 6)]
+    shuffled = [w for block in reversed(blocks) for w in (*block, "other")]
+    text = " ".join([*shuffled, *(f"x{k}" for k in range(400)), *item[:31]])
+    block = L.Block([(1, " ".join(item))])
+    assert block.find([text, " ".join(shuffled), " ".join(item[:31])]) == [(0, 1), (2, 1)]
