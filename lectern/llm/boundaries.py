@@ -16,6 +16,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -53,6 +54,8 @@ REPORT_HI = re.compile(r"^[^।॥!?“”]{0,40}?(?:कहा|पूछा|ब
 
 # Evidence columns of the corpus table.
 SMALL, FINAL, CAPITAL, BARE, LOWER, NAME = range(6)
+#: In a chapter only: the small form of a capital word after a full stop, whose small uses there are asked for.
+ASKED = 6
 BITS = 18
 SIZE = 1 << BITS
 
@@ -95,6 +98,17 @@ def evidence(text: str) -> Iterator[tuple[str, int]]:
         last = text[e - 1 : e] if text[e : e + 1].isspace() else text[e : e + 1]
 
 
+#: A word after a full stop, whatever marks and digits are between.
+AFTER = re.compile(rf"[{re.escape(STOP)}][\W\d_]*({WORD.pattern})")
+
+
+def asked(text: str) -> Iterator[tuple[str, int]]:
+    """(small form, ASKED) of the capital words after a full stop."""
+    for w in AFTER.findall(text):
+        if w[0].isupper():
+            yield w[0].lower() + w[1:], ASKED
+
+
 class Evidence:
     """Counts of the document first, those of the corpus where it is silent."""
 
@@ -349,13 +363,14 @@ def counted(paragraphs: DataFrame) -> DataFrame:
         for b in batches:
             own: Counter = Counter()
             for book, spine, text in zip(b["book_id"], b["spine_idx"], b["full_text"]):
-                own.update((book, spine, token, kind) for token, kind in evidence(text))
+                own.update((book, spine, token, kind) for token, kind in chain(evidence(text), asked(text)))
             total = np.zeros((SIZE, 6), np.int64)
             for (_, _, token, kind), n in own.items():
-                total[bucket(token), kind] += n
+                if kind != ASKED:
+                    total[bucket(token), kind] += n
             at, kinds = np.nonzero(total)
             yield pd.DataFrame({"book_id": None, "spine_idx": None, "token": None, "bucket": at, "kind": kinds, "n": total[at, kinds]})
-            rows = [(*r, n) for r, n in own.items() if r[3] in (SMALL, FINAL, CAPITAL, NAME) or r[3] == BARE and len(r[2]) <= 4]
+            rows = [(*r, n) for r, n in own.items()]
             yield pd.DataFrame(rows, columns=["book_id", "spine_idx", "token", "kind", "n"]).assign(bucket=None)[["book_id", "spine_idx", "token", "bucket", "kind", "n"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in paragraphs.schema}
@@ -376,10 +391,13 @@ def sentences(paragraphs: DataFrame, text: str = "full_text") -> DataFrame:
     table[found["bucket"].to_numpy(), found["kind"].to_numpy()] = found["n"].to_numpy()
     documents = (
         rows.where("bucket is null")
-        .groupBy("book_id", "spine_idx", "token", "kind")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("book_id", "spine_idx", "token")
+        .agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"_{k}") for k in range(7)))
+        # bare and small uses say something only of words that also have a stop, are names, or are asked for
+        .where(f"_{SMALL} + _{FINAL} + _{CAPITAL} + _{NAME} > 0 or _{LOWER} > 0 and _{ASKED} > 0")
+        .withColumn("n", F.array(*(f"_{k}" for k in range(6))))
         .groupBy(F.col("book_id").alias("_book"), F.col("spine_idx").alias("_spine"))
-        .agg(F.collect_list(F.struct("token", "kind", "n")).alias("seen"))
+        .agg(F.collect_list(F.struct("token", "n")).alias("seen"))
     )
     shared = spark.sparkContext.broadcast((uuid.uuid4().hex, table))
     joined = own.join(documents, own["book_id"].eqNullSafe(documents["_book"]) & own["spine_idx"].eqNullSafe(documents["_spine"]), "left")
@@ -393,9 +411,7 @@ def sentences(paragraphs: DataFrame, text: str = "full_text") -> DataFrame:
                 if (book, spine) not in cache:
                     if len(cache) > 1000:
                         cache.clear()
-                    document: dict[str, list[int]] = {}
-                    for s in seen if seen is not None else ():
-                        document.setdefault(s["token"], [0] * 6)[s["kind"]] += s["n"]
+                    document = {s["token"]: list(s["n"]) for s in seen} if seen is not None else {}
                     cache[book, spine] = Evidence(corpus, document)
                 out.extend((book, spine, para, e) for e in segment(value, cache[book, spine]))
             yield pd.DataFrame(out, columns=["book_id", "spine_idx", "para_idx", "end_pos"])

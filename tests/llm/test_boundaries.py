@@ -84,3 +84,14 @@ def test_sentences(spark):
     assert sorted(out[7]) == [7, 22]
     assert 8 not in out and 9 not in out and len(out[10]) == 5000
     assert B.sentences(df.limit(0)).count() == 0
+
+
+def test_small_uses_in_the_chapter(spark):
+    # elsewhere "Hope" is a name; a chapter that uses the word small decides for itself
+    rows = [("b0", k, 0, "They met Bell Corp. Hope, and later Hope. The old Bell Corp. Hope and the new Bell Corp. Hope were there with Hope.") for k in range(12)]
+    rows += [("b0", k, 1, "At Bell Corp. they wait.") for k in range(12)]
+    text = "It was Bell Corp. Hope was gone."
+    rows += [("b1", 0, 0, text), ("b1", 0, 1, "There was no hope left."), ("b2", 0, 0, text)]
+    df = spark.createDataFrame(rows, "book_id string, spine_idx int, para_idx int, full_text string")
+    ends = {(r.book_id, r.end_pos) for r in B.sentences(df).where("book_id != 'b0' and para_idx = 0").collect()}
+    assert ends == {("b1", 17), ("b1", len(text)), ("b2", len(text))}
