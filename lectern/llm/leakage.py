@@ -29,13 +29,19 @@ from pyspark.sql import types as T
 #: One token: an ideograph or kana, or a run of other letters and digits.
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+")
 IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿]")
-WORDS, CHARS = 4, 5  # tokens of a test string: in words, in ideographs
+#: (items in ideographs, tokens of a test string, share of the item's size that must occur as test strings in one place).
+#: Of half of an item kept in runs of r tokens on average, test strings of m tokens are (r - m + 1) / 2r of its size: none is
+#: missed whose kept words stand in runs of two, or ideographs in runs of three, on average.
+PASSES = ((False, 3, 1 / 8), (False, 2, 1 / 4), (True, 3, 1 / 6))
 SEP, UNKNOWN = -2, -1
+#: Slots in which occurrences are counted before they are sorted.
+SLOTS = 1 << 20
 STRIPE = 256
+#: Share of an item that a document must hold.
+SHARE = 0.5
 #: Least share of an occurrence's text that belongs to the item; the rest is edits and short insertions.
 DENSE = 0.65
 
-
 #: Most tokens of the item between two neighbours of a chain that still count.
 GAP = 12
 
@@ -117,21 +123,22 @@ class Block:
                 self.ids.append(item_id)
                 self.texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
                 kinds.append(sum(bool(IDEOGRAPH.match(w)) for w in words) * 2 > len(words))
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.searches = []
-        for cjk, most in ((False, WORDS), (True, CHARS)):
-            mine = [k for k, kind in enumerate(kinds) if kind == cjk]
+        for cjk, most, share in PASSES:
+            mine = [k for k, kind in enumerate(kinds) if kind == cjk and len(self.texts[k]) > 1]
             # items shorter than a test string are test strings themselves
-            for m in sorted({min(most, max(2, len(self.texts[k]))) for k in mine}):
+            for m in sorted({min(most, len(self.texts[k])) for k in mine}):
                 rows, owner, at = [], [], []
                 for k in mine:
                     t = self.texts[k]
-                    if min(most, max(2, len(t))) == m and len(t) >= m:
+                    if min(most, len(t)) == m:
                         w = np.lib.stride_tricks.sliding_window_view(t, m)
                         rows.append(w)
                         owner.append(np.full(len(w), k))
                         at.append(np.arange(len(w)))
                 if rows:
-                    self.searches.append((WuManber(np.concatenate(rows), m), np.concatenate(owner), np.concatenate(at)))
+                    self.searches.append((WuManber(np.concatenate(rows), m), np.concatenate(owner), np.concatenate(at), share))
         self.single = {int(self.texts[k][0]): k for k in range(len(self.texts)) if len(self.texts[k]) == 1}
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int]]:
@@ -143,24 +150,35 @@ class Block:
             parts.extend(ids)
             parts.append(SEP)
             n += len(ids) + 1
-        stream, begins = np.array(parts, np.int64), np.array(begins, np.int64)
+        stream, begins = np.array(parts, np.int64), np.array([*begins, n], np.int64)
         found: set[tuple[int, int]] = set()
-        for matcher, owner, at in self.searches:
+        for matcher, owner, at, share in self.searches:
             start, which = matcher.search(stream)
             if not len(start):
                 continue
             doc = np.searchsorted(begins, start, "right") - 1
-            item, pos = owner[which], at[which]
-            order = np.lexsort((pos, start, item, doc))
-            doc, item, pos, start = doc[order], item[order], pos[order], start[order]
-            edge = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0), [True]]))
-            sizes = np.array([len(t) for t in self.texts])
-            # at least half of the item: fewer occurrences can't do
-            enough = np.diff(edge) * (matcher.m + GAP) >= 0.5 * sizes[item[edge[:-1]]]
-            for a, b in zip(edge[:-1][enough], edge[1:][enough]):
+            group = doc * len(self.texts) + owner[which]
+            # most documents share only a phrase or two with an item; slots may be shared, so counts are never too low
+            slot = group & (SLOTS - 1)
+            likely = np.bincount(slot, minlength=SLOTS)[slot] >= share * self.sizes[owner[which]]
+            group, start, which = group[likely], start[likely], which[likely]
+            order = np.argsort(group * (n + 1) + start)
+            group, start, pos = group[order], start[order], at[which][order]
+            item = group % len(self.texts)
+            # an occurrence lies in a stretch of `reach` tokens, with at least `share` of the item's size in test strings
+            reach = (SHARE * self.sizes[item] + matcher.m + GAP) / DENSE
+            place = group * (n + 1) + start
+            last = np.searchsorted(place, np.minimum(place + reach.astype(np.int64), group * (n + 1) + n), "right")
+            dense = np.flatnonzero(last - np.arange(len(place)) >= share * self.sizes[item])
+            if not len(dense):
+                continue
+            # stretches that overlap are looked at together
+            fresh = np.concatenate([[True], (dense[1:] >= np.maximum.accumulate(last[dense])[:-1]) | (np.diff(group[dense]) != 0)])
+            for a, b in zip(dense[fresh], np.maximum.reduceat(last[dense], np.flatnonzero(fresh))):
                 k = int(item[a])
-                if holds(stream, self.texts[k], start[a:b], pos[a:b], matcher.m):
-                    found.add((int(doc[a]), self.ids[k]))
+                d = int(group[a]) // len(self.texts)
+                if (d, self.ids[k]) not in found and occurs(stream, self.texts[k], start[a:b], pos[a:b], matcher.m, int(begins[d]), int(begins[d + 1]) - 1):
+                    found.add((d, self.ids[k]))
         for word, k in self.single.items():
             for d in np.unique(np.searchsorted(begins, np.flatnonzero(stream == word), "right") - 1):
                 found.add((int(d), self.ids[k]))
@@ -180,73 +198,86 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarray, m: int, share: float = 0.5) -> bool:
-    """Whether one stretch of ``stream`` holds ``share`` of ``item`` in order.
+def occurs(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarray, m: int, low: int, high: int) -> bool:
+    """Whether the stretches of ``stream[low:high]`` that hold the occurrences ``start`` hold ``SHARE`` of ``item`` in order."""
+    need = SHARE * len(item)
+    reach = int((need + m + GAP) / DENSE)
+    # long runs of stretches are cut into pieces, each stretch whole in one of them
+    begin = 0
+    while begin < len(start):
+        end = int(np.searchsorted(start, start[begin] + 2 * reach, "right"))
+        a, b = max(low, int(start[begin]) - GAP), min(high, int(start[end - 1]) + m + GAP)
+        # no chain holds more than the longest common subsequence
+        if common(item, stream[a:b]) >= need and holds(stream, item, start[begin:end], pos[begin:end], m, low, high):
+            return True
+        if end == len(start):
+            return False
+        begin = max(begin + 1, int(np.searchsorted(start, start[end - 1] - reach, "left")))
+    return False
+
+
+def holds(stream: np.ndarray, item: np.ndarray, start: np.ndarray, pos: np.ndarray, m: int, low: int, high: int) -> bool:
+    """Whether one stretch of ``stream[low:high]`` holds ``SHARE`` of ``item`` in order.
 
     ``start`` and ``pos`` are occurrences of the item's test strings.  They are
     chained to the longest run that rises in both; what lies between two
-    neighbours of the chain counts by longest common subsequence if both gaps
-    are short.  Every stretch is chained whose distinct positions can reach
-    the share.
+    neighbours of the chain, if both gaps are short, and up to ``GAP`` tokens
+    before and behind it, counts by longest common subsequence.
     """
-    n = len(item)
-    need, reach = share * n, int(1.5 * n) + 12
-    # the stretches of at most `reach` tokens: those with more distinct positions than all before, and those that can't be extended
-    begin = 0
-    best, seen, spans, whole = 0, {}, [], []
-    for end in range(len(start)):
-        seen[pos[end]] = seen.get(pos[end], 0) + 1
-        while start[end] - start[begin] > reach:
-            seen[pos[begin]] -= 1
-            if not seen[pos[begin]]:
-                del seen[pos[begin]]
-            begin += 1
-        if len(seen) > best:
-            best = len(seen)
-            spans.append((begin, end + 1))
-        if (end + 1 == len(start) or start[end + 1] - start[begin] > reach) and len(seen) * (m + GAP) >= need:
-            whole.append((len(seen), begin, end + 1))
-    first = spans[-1:-4:-1]
-    for begin, end in dict.fromkeys([*first, *((b, e) for _, b, e in sorted(whole, reverse=True))]):
-        s, p = start[begin:end], pos[begin:end]
-        tails, link, last = [], [-1] * len(s), []
-        # longest chain rising in both; equal starts are visited from the highest position down
-        for k in sorted(range(len(s)), key=lambda j: (s[j], -p[j])):
-            j = bisect_left(tails, p[k])
-            if j == len(tails):
-                tails.append(p[k])
-                last.append(k)
-            else:
-                tails[j], last[j] = p[k], k
-            link[k] = last[j - 1] if j else -1
-        chain, k = [], last[-1]
-        while k >= 0:
-            chain.append(k)
-            k = link[k]
-        chain.reverse()
-        # steps of the chain: tokens held, and where in the text each begins and ends
-        steps = [(m, s[chain[0]], s[chain[0]] + m)]
-        ps, pp = s[chain[0]] + m, p[chain[0]] + m
-        for k in chain[1:]:
-            gs, gp = s[k] - ps, p[k] - pp
-            if gs >= 0 and gp >= 0:
-                between = common(item[pp : p[k]], stream[ps : s[k]]) if 0 < gp <= GAP and 0 < gs <= 16 else 0
-                steps.append((m + between, s[k], s[k] + m))
+    need = SHARE * len(item)
+    s, p = start.tolist(), pos.tolist()
+    tails, link, last = [], [-1] * len(s), []
+    # longest chain rising in both; equal starts are visited from the highest position down
+    for k in sorted(range(len(s)), key=lambda j: (s[j], -p[j])):
+        j = bisect_left(tails, p[k])
+        if j == len(tails):
+            tails.append(p[k])
+            last.append(k)
+        else:
+            tails[j], last[j] = p[k], k
+        link[k] = last[j - 1] if j else -1
+    chain, k = [], last[-1]
+    while k >= 0:
+        chain.append(k)
+        k = link[k]
+    chain.reverse()
+    # steps of the chain: tokens held, and where in the text each begins and ends
+    steps, ps, pp = [], None, None
+    for k in chain:
+        if ps is None or s[k] - ps > 16 or p[k] - pp > GAP:
+            # nothing near before it: what stands at the edges may still be the item's
+            floor, ground = 0, low
+            if ps is not None:
+                after = max(0, min(GAP, p[k] - pp, s[k] - ps))
+                if after:
+                    steps.append((common(item[pp : pp + after], stream[ps : ps + after]), ps, ps + after))
+                floor, ground = pp + after, ps + after
+            before = min(GAP, p[k] - floor, s[k] - ground)
+            if before > 0:
+                steps.append((common(item[p[k] - before : p[k]], stream[s[k] - before : s[k]]), s[k] - before, s[k]))
+            gs = gp = 0
+            ps, pp = s[k], p[k]
+        gs, gp = s[k] - ps, p[k] - pp
+        if gs >= 0 and gp >= 0:
+            between = common(item[pp : p[k]], stream[ps : s[k]]) if gp and gs else 0
+            steps.append((m + between, s[k], s[k] + m))
+            ps, pp = s[k] + m, p[k] + m
+        else:  # overlaps the last one: count only what is new on both sides
+            new = min(s[k] + m - ps, p[k] + m - pp)
+            if new > 0:
+                steps.append((new, s[k], s[k] + m))
                 ps, pp = s[k] + m, p[k] + m
-            else:  # overlaps the last one: count only what is new on both sides
-                new = min(s[k] + m - ps, p[k] + m - pp)
-                if new > 0:
-                    steps.append((new, s[k], s[k] + m))
-                    ps, pp = s[k] + m, p[k] + m
-        # some stretch of the chain must hold enough, with no more than short insertions in between
-        held, low = 0, 0
-        for got, _, stop in steps:
-            held += got
-            while held - steps[low][0] >= need:
-                held -= steps[low][0]
-                low += 1
-            if held >= need and held >= DENSE * (stop - steps[low][1]):
-                return True
+    if (after := min(GAP, len(item) - pp, high - ps)) > 0:
+        steps.append((common(item[pp : pp + after], stream[ps : ps + after]), ps, ps + after))
+    # some stretch of the chain must hold enough, with no more than short insertions in between
+    held, first = 0, 0
+    for got, _, stop in steps:
+        held += got
+        while held - steps[first][0] >= need:
+            held -= steps[first][0]
+            first += 1
+        if held >= need and held >= DENSE * (stop - steps[first][1]):
+            return True
     return False
 
 

@@ -76,3 +76,51 @@ def test_leak_behind_a_shuffled_stretch():
     text = " ".join([*shuffled, *(f"x{k}" for k in range(400)), *item[:31]])
     block = L.Block([(1, " ".join(item))])
     assert block.find([text, " ".join(shuffled), " ".join(item[:31])]) == [(0, 1), (2, 1)]
+
+
+def found(body, item):
+    r = random.Random(7)
+    filler = lambda: [f"y{r.randrange(5000)}" for _ in range(200)]
+    return bool(L.Block([(1, " ".join(item))]).find([" ".join([*filler(), *body, *filler()])]))
+
+
+def test_few_windows_of_a_long_item():
+    item = [f"w{k}" for k in range(480)]
+    kept = [w for k, w in enumerate(item) if k % 16 < 12]
+    assert len(kept) == 360 and found(kept, item)
+    assert found([w for k, w in enumerate(item) if k % 4 < 3], item)
+
+
+def test_decoy_beside_a_copy():
+    item = [f"w{k}" for k in range(120)]
+    decoy = [w for k in reversed(range(0, 120, 10)) for w in item[k : k + 10]]
+    gap = [f"x{k}" for k in range(300)]
+    copy = item[20:86]
+    assert not found(decoy, item)
+    for body in (copy, [*decoy, *gap, *copy], [*copy, *gap, *decoy], [*decoy, *gap, *copy, *gap, *decoy]):
+        assert found(body, item)
+
+
+def test_edits_every_few_words():
+    item = [f"w{k}" for k in range(120)]
+    assert found([w if k % 4 else f"z{k}" for k, w in enumerate(item)], item)
+    assert found([w if k % 3 else f"z{k}" for k, w in enumerate(item)], item)
+    assert found([w if k % 4 else f"z{k}" for k, w in enumerate(item[:87])], item)  # 65 of 120 words
+    assert not found([w if k % 4 else f"z{k}" for k, w in enumerate(item[:70])], item)
+    ideographs = [chr(0x4E00 + 7 * k) for k in range(120)]
+    assert found([c if k % 4 else "很" for k, c in enumerate(ideographs)], ideographs)
+
+
+def test_every_dense_case_by_brute_force():
+    r = random.Random(11)
+    item = [f"w{k}" for k in range(90)]
+    for _ in range(150):
+        # half of the item or more, kept in runs of two words or more, a word between two runs
+        body, k, kept = [], r.randrange(0, 12), 0
+        while k < len(item):
+            run = r.randrange(2, 9)
+            body += [*item[k : k + run], f"z{k}"]
+            kept += len(item[k : k + run])
+            k += run + r.randrange(0, 3)
+        if kept >= 48:
+            assert found(body, item), body
