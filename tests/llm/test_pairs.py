@@ -32,6 +32,15 @@ SCHEMA = "book_id string, spine_idx int, para_idx int, sent_idx int, text string
         (ASKED.upper(), "copy"),
         ("“" + ASKED.lower().rstrip(".") + "”", "copy"),
         (f"分析：{ASKED}整体翻译：{ASKED}单词解释：", "copy"),
+        (ASKED + "（原文）", "copy"),
+        (ASKED.rstrip(".") + "（原文）", "copy"),
+        ("（" + ASKED + "）", "copy"),
+        ("抱歉，我无法解释这个句子（内容敏感）。", "refusal"),
+        ("这个句子我帮不了你，请换一个。", "refusal"),
+        ("解释这样的内容超出了我的能力范围。", "refusal"),
+        ("This is beyond what I am able to do here.", "refusal"),
+        ("Translating this sentence is not something I can do; it is outside my scope, sorry.", "refusal"),
+        ("整体翻译：拥挤的包裹收集灯笼，不能穿过桥。单词解释：parcel指“包裹”。", ""),
         ("抱歉，我无法解释这句话。", "refusal"),
         ("作为一个语言模型，我没有办法完成这个请求，因为它可能涉及不适当的内容。", "refusal"),
         ("I'm sorry, but I can't help with that sentence.", "refusal"),
@@ -45,6 +54,26 @@ def test_judge(note, defect):
     assert pairs.judge(ASKED, note)[0] == defect
 
 
+def test_glossed_denial_is_no_refusal():
+    note = "分析：cannot explain this sentence（无法解释这个句子）。整体翻译：我无法解释这个句子。单词解释：explain指“解释”。"
+    assert pairs.judge("I cannot explain this sentence.", note)[0] == ""
+
+
+def test_prefix_keys_against_brute_force():
+    notes = [NOTE, NOTE[:40], "分析：a（甲乙），b（甲乙丙）。整体翻译：甲乙丙丁", "", "没有标点"]
+    each = [u for n in notes for u in pairs.units(n)[0]]
+    longer = each + [pairs.units(n)[1] for n in notes]
+    got = pairs.prefixes(notes).set_index("_piece")
+    for tail in ("甲乙", "甲", "很甲乙丙", "parcel甲乙丙丁", "她的拥挤的包裹", "b", "单词解", "xa"):
+        starts = [k for k in range(len(tail)) if not (k and tail[k].isascii() and tail[k - 1].isascii())]
+        keys = pairs.endings(tail)
+        assert len(keys) == len(starts)
+        for k, key in zip(starts, keys):
+            row = got.loc[key] if key in got.index else {"whole": 0, "longer": 0}
+            assert row["whole"] == each.count(tail[k:]) and row["longer"] == sum(u.startswith(tail[k:]) and u != tail[k:] for u in longer), (tail, k)
+    assert pairs.endings("") == []
+
+
 def test_tiles_against_brute_force():
     import random
 
@@ -81,6 +110,14 @@ def test_missing_stop_is_complete(spark):
     assert by == {0: None, 1: None, 2: "truncated"}
 
 
+def test_hot_endings(spark):
+    # every note ends in the same open unit; it goes on in one of them
+    rows = [("b", 0, 0, k, ASKED, f"整体翻译：第{k}个她的拥挤的包", False, "x", 1) for k in range(300)]
+    rows += [("b", 1, 0, 0, ASKED, NOTE, False, "x", 1), ("b", 1, 0, 1, None, "整体翻译：从未见过", False, "x", 1), ("b", 1, 0, 2, None, None, None, None, None)]
+    by = {(r.spine_idx, r.sent_idx): r.defect for r in pairs.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(by[0, k] == "truncated" for k in range(300)) and by[1, 0] is None and by[1, 1] is None and by[1, 2] == "empty"
+
+
 def test_empty_table(spark):
     assert pairs.judged(spark.createDataFrame([], SCHEMA)).count() == 0
 
