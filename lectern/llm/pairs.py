@@ -204,6 +204,8 @@ def judge(text: str | None, note: str | None) -> tuple[str, str, bool]:
 #: A letter of a script with spaces.
 LETTER = re.compile(r"(?![\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])\w")
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Slots in which keys of endings are noted before prefixes are looked for.
+SLOTS = 1 << 23
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
@@ -239,8 +241,11 @@ def units(note: str) -> tuple[list[str], str]:
     return [u for p in parts[:-1] if (u := p.strip())] + [m.rstrip("：: \n") for m in MARK.findall(note)], parts[-1].strip()
 
 
-def prefixes(notes: list[str]) -> pd.DataFrame:
-    """Keys of all prefixes of units, how often they stand whole and how often they go on."""
+def prefixes(notes: list[str], wanted: np.ndarray | None = None) -> pd.DataFrame:
+    """Keys of all prefixes of units, how often they stand whole and how often they go on.
+
+    With ``wanted`` those whose slot is not marked there are left out.
+    """
     each, open_ = [], []
     for note in notes:
         whole, end = units(note)
@@ -252,9 +257,15 @@ def prefixes(notes: list[str]) -> pd.DataFrame:
         return pd.DataFrame({"_piece": [], "whole": [], "longer": []}).astype("int64")
     hashed = Hashed(each)
     begin = np.repeat(hashed.begin, hashed.size)
-    keys, at = np.unique(hashed.key(begin, np.arange(1, len(begin) + 1)), return_inverse=True)
-    ends = np.bincount(at[hashed.end - 1], minlength=len(keys))
-    whole = np.bincount(at[hashed.end[:n] - 1], minlength=len(keys))
+    key = hashed.key(begin, np.arange(1, len(begin) + 1))
+    is_end, is_whole = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    is_end[hashed.end - 1], is_whole[hashed.end[:n] - 1] = True, True
+    if wanted is not None:
+        use = wanted[key & (SLOTS - 1)]
+        key, is_end, is_whole = key[use], is_end[use], is_whole[use]
+    keys, at = np.unique(key, return_inverse=True)
+    ends = np.bincount(at[is_end], minlength=len(keys))
+    whole = np.bincount(at[is_whole], minlength=len(keys))
     return pd.DataFrame({"_piece": keys, "whole": whole, "longer": np.bincount(at, minlength=len(keys)) - ends})
 
 
@@ -287,9 +298,12 @@ def judged(notes: DataFrame, text: str = "text", answer: str = "note_content", e
     keys = keys or SENTENCE
     own = notes.select(*keys, F.col(text).alias("_text"), F.col(answer).alias("_answer"), F.coalesce(F.col(error), F.lit(False)).alias("_error")).distinct()
 
-    @F.pandas_udf("defect string, tail string, sure boolean")
+    @F.pandas_udf("defect string, tail string, sure boolean, endings array<bigint>")
     def first(asked: pd.Series, answered: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(a, b) for a, b in zip(asked, answered)], columns=["defect", "tail", "sure"])
+        rows = [judge(a, b) for a, b in zip(asked, answered)]
+        out = pd.DataFrame(rows, columns=["defect", "tail", "sure"])
+        out["endings"] = [endings(tail) if defect == "open" else None for defect, tail, _ in rows]
+        return out
 
     sound = own.where(~F.col("_error"))
     # read again below: written once, so that the parser runs once
@@ -312,29 +326,29 @@ def open_ends(seen: DataFrame, keys: list[str]) -> DataFrame:
     and how often it goes on; ``complete`` is the exact check of ends that
     stand whole.
     """
-    answers = seen.where("length(_answer) > 0").select("_answer")
+    ends = seen.where("defect = 'open'").select(F.struct(*keys, "_answer").alias("_key"), "_text", "tail", "sure", "endings")
+    tries = ends.select("_key", F.explode("endings").alias("_piece"))
+    # slots of the endings that are asked for: at most SLOTS of them, whatever the corpus; the other prefixes stay where they are
+    asked_for = np.zeros(SLOTS, bool)
+    slots = tries.select((F.col("_piece").bitwiseAND(F.lit(SLOTS - 1))).cast("int").alias("slot")).distinct().toArrow()["slot"]
+    asked_for[slots.to_numpy()] = True
+    shared = seen.sparkSession.sparkContext.broadcast(np.packbits(asked_for))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.unpackbits(shared.value).view(bool)
         for b in batches:
             for lo in range(0, len(b), 4000):
-                yield prefixes(b["_answer"].iloc[lo : lo + 4000].tolist())
-
-    def meanings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            count = Counter(g for note in b["_answer"] for g in glosses(note))
-            yield pd.DataFrame([(*g, n) for g, n in count.items()], columns=["word", "meaning", "n"])
-
-    known = answers.mapInPandas(places, "_piece bigint, whole bigint, longer bigint").groupBy("_piece").agg(F.sum("whole").alias("whole"), F.sum("longer").alias("longer"))
-    meaning = answers.mapInPandas(meanings, "word string, meaning string, n bigint").groupBy("word", "meaning").agg(F.sum("n").alias("n"))
+                notes = b["_answer"].iloc[lo : lo + 4000].tolist()
+                yield prefixes(notes, wanted).assign(word=None, meaning=None, n=0)
+                count = Counter(g for note in notes for g in glosses(note))
+                if count:
+                    rows = pd.DataFrame([(*g, n) for g, n in count.items()], columns=["word", "meaning", "n"])
+                    yield rows.assign(_piece=0, whole=0, longer=0)[["_piece", "whole", "longer", "word", "meaning", "n"]]
+
+    rows = durable(seen.where("length(_answer) > 0").select("_answer").mapInPandas(places, "_piece bigint, whole bigint, longer bigint, word string, meaning string, n bigint"))
+    known = rows.where("word is null").groupBy("_piece").agg(F.sum("whole").alias("whole"), F.sum("longer").alias("longer"))
+    meaning = rows.where("word is not null").groupBy("word", "meaning").agg(F.sum("n").alias("n"))
     meaning = meaning.groupBy("word").agg(F.max_by("meaning", F.struct("n", "meaning")).alias("meaning"))
-
-    ends = seen.where("defect = 'open'").select(F.struct(*keys, "_answer").alias("_key"), "_text", "tail", "sure")
-
-    @F.pandas_udf("array<bigint>")
-    def keys_of(tails: pd.Series) -> pd.Series:
-        return pd.Series([endings(t) for t in tails])
-
-    tries = ends.select("_key", F.explode(keys_of("tail")).alias("_piece"))
     onward = looked_up(tries, known, "_piece").groupBy("_key").agg(F.sum("whole").alias("whole"), F.max("longer").alias("longer"))
     ends = ends.join(onward, "_key", "left").withColumn("whole", F.coalesce("whole", F.lit(0))).withColumn("longer", F.coalesce("longer", F.lit(0)))
     # exact check: the end gives the meaning of the question's last glossed word, and only the full stop is missing
@@ -342,7 +356,7 @@ def open_ends(seen: DataFrame, keys: list[str]) -> DataFrame:
     said = looked_up(asked, meaning, "word").groupBy("_key", "_at").agg(F.max(F.col("tail").endswith(F.col("meaning"))).alias("_said"))
     last = said.groupBy("_key").agg(F.max_by("_said", "_at").alias("complete"))
     cut = F.col("sure") | F.when(F.col("whole") > 0, ~F.coalesce(F.col("complete"), F.lit(False))).otherwise(F.col("longer") > 0)
-    return ends.join(last, "_key", "left").withColumn("cut", cut).drop("_text")
+    return ends.join(last, "_key", "left").withColumn("cut", cut).drop("_text", "endings")
 
 
 #: A key that many rows ask for is looked up in so many places.
