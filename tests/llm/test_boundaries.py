@@ -47,8 +47,10 @@ def known():
 
     table = np.zeros((B.SIZE, 6))
     for text in CORPUS + [c.replace("⏎", "") for c in CASES]:
-        for token, kind in B.evidence(text):
-            table[B.bucket(token), kind] += 1
+        uses = B.Uses()
+        uses.add(text)
+        for token, n in uses.counts().items():
+            table[B.bucket(token)] += n[:6]
     return B.Evidence(table, {})
 
 
@@ -95,3 +97,26 @@ def test_small_uses_in_the_chapter(spark):
     df = spark.createDataFrame(rows, "book_id string, spine_idx int, para_idx int, full_text string")
     ends = {(r.book_id, r.end_pos) for r in B.sentences(df).where("book_id != 'b0' and para_idx = 0").collect()}
     assert ends == {("b1", 17), ("b1", len(text)), ("b2", len(text))}
+
+
+def test_evidence_of_long_chapters(spark):
+    """A chapter in several parts decides like one in a single part."""
+    text = "It was Bell Corp. Hope was gone."
+    rows = [("b0", k, 0, "They met Bell Corp. Hope, and later Hope. The old Bell Corp. Hope and the new Bell Corp. Hope were there with Hope.") for k in range(12)]
+    rows += [("b0", k, 1, "At Bell Corp. they wait.") for k in range(12)]
+    rows += [("b1", 0, 0, text), ("b1", 0, 5 * B.COPY, "There was no hope left."), ("b1", 0, None, text + " "), ("b2", 0, 0, text), (None, None, None, text)]
+    df = spark.createDataFrame(rows, "book_id string, spine_idx int, para_idx int, full_text string")
+    ends = {(r.book_id, r.para_idx, r.end_pos) for r in B.sentences(df).where("book_id != 'b0' or book_id is null").collect()}
+    n = len(text)
+    assert ends == {("b1", 0, 17), ("b1", 0, n), ("b1", 5 * B.COPY, 23), ("b1", None, 17), ("b1", None, n), ("b2", 0, n), (None, None, n)}
+
+
+def test_uses_against_one_by_one():
+    text = "Mr. Lane saw Dr. Fox, i.e. him, at 5 p.m. Then Ms. Hale left. “The Co. of it.” Lane ran to Bell; The man."
+    uses = B.Uses()
+    uses.add(text)
+    n = uses.counts()
+    assert n["Mr"][B.CAPITAL] == 1 and n["Lane"][B.BARE] == 2 and n["Lane"][B.NAME] == 0 and n["Fox"][B.NAME] == 0 and n["Bell"][B.NAME] == 1 and n["saw"][B.LOWER] == 1
+    assert n["Co"][B.SMALL] == 1 and n["Co"][B.BARE] == 0 and n["man"][B.FINAL] == 1 and n["left"][B.BARE] == 0
+    telling = uses.counts(telling=True)
+    assert "saw" not in telling and all(telling[w] == n[w] for w in telling if w in n)
