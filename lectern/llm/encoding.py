@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable
+from .confusables import _java
 
 #: Code pages that text is wrongly read in, or was written in.
 PAGES = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8_r", "iso8859_5", "cp1253")
@@ -329,15 +330,15 @@ class Model:
                     back, gain = self.parts(word, wrong)
                     if gain:
                         found.append(((wrong, "utf-8"), back, gain))
-        return tuple(sorted(found, key=lambda f: -f[2])[:24])
+        return tuple(sorted(found, key=lambda f: -f[2]))
 
 
 _MODELS: dict[str, Model] = {}
 
 
-def share(spark, counts: np.ndarray, prior: dict | None = None):
+def share(spark, counts: np.ndarray, prior: tuple | None = None):
     """What all executors need, under a name of its own."""
-    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts, prior or {}))
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, counts, prior))
 
 
 def model_of(shared) -> Model:
@@ -378,11 +379,16 @@ def odd_words(text: str) -> Iterator[str]:
             yield from OTHER.findall(word)
 
 
-def reread(text: str, model: Model, swap: tuple[str, str]) -> str:
-    """``text`` with every word restored that ``swap`` reads better."""
+def reread(text: str, model: Model, swap: tuple[str, str], learned: dict | None = None) -> str:
+    """``text`` with every word restored that ``swap`` reads better; one-byte swaps by the source's learned table."""
+    table = (learned or {}).get(swap)
 
     def back(m: re.Match) -> str:
         word = m[0]
+        if table is not None and not CJK.search(word):
+            if swap == FREE:
+                return next((b for _, b, _ in freely(word, model, learned)), word)
+            return word.translate(table) if any(h == swap for h, _, _ in model.readings(word)) else word
         if CJK.search(word):
             if swap[0] not in WIDE_READ:
                 return OTHER.sub(back, word)
@@ -393,6 +399,17 @@ def reread(text: str, model: Model, swap: tuple[str, str]) -> str:
     return ODD.sub(back, text)
 
 
+def freely(word: str, model: Model, learned: dict | None) -> list[tuple[tuple[str, str], str, float]]:
+    """The reading of ``word`` by the source's table of a page that has no name."""
+    table = (learned or {}).get(FREE)
+    if not table or CJK.search(word) or not any(ord(c) in table for c in word):
+        return []
+    back = word.translate(table)
+    s = model.score(back)
+    gain = s - model.score(word)
+    return [(FREE, back, gain)] if s > 0 and gain >= WORD_LEAST else []
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(source, word, n): the odd words of each source, counted."""
 
@@ -455,15 +472,15 @@ def expect(words: DataFrame, counts: np.ndarray) -> DataFrame:
     return words.mapInPandas(best, "source string, word string, n bigint, wrong string, true string, back string")
 
 
-def learn(docs: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """Bigram counts of the languages, and (source, wrong, true, weight, letters) of the swaps."""
+def learn(docs: DataFrame) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Bigram counts of the languages, (source, wrong, true, weight) of the swaps, and the words as they are read."""
     words = durable(vocabulary(docs))
     read_as = durable(expect(words, bigrams(count_pairs(words))))
     counts = bigrams(count_pairs(read_as.select(F.coalesce("back", "word").alias("word"), "n")))
     total = read_as.groupBy("source").agg(F.sum("n").alias("of"))
     garbled = read_as.where("wrong is not null").groupBy("source", "wrong", "true").agg(F.sum("n").alias("n"))
     weights = garbled.join(total.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return counts, weights.withColumn("weight", (F.col("n") + 0.5) / (F.col("of") + 1.0))
+    return counts, weights.withColumn("weight", (F.col("n") + 0.5) / (F.col("of") + 1.0)), read_as
 
 
 #: Sources share this many slots, so that their weights have a bounded size.
@@ -483,21 +500,242 @@ def priors(weights: DataFrame) -> dict[int, dict[tuple[str, str], float]]:
     return out
 
 
-def alphabet(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(source, wrong, true, symbol, letter, n): the learned ciphers, letter by letter."""
-    found = expect(vocabulary(docs), counts).where("wrong is not null and length(word) = length(back)")
-    each = found.select("source", "wrong", "true", "n", F.explode(F.expr("transform(sequence(1, length(word)), k -> struct(substring(word, k, 1) as symbol, substring(back, k, 1) as letter))")).alias("_c"))
-    return each.where("_c.symbol != _c.letter").groupBy("source", "wrong", "true", "_c.symbol", "_c.letter").agg(F.sum("n").alias("n"))
+#: The swap that no code page names: what it makes of each letter is learned from nothing.
+FREE = ("", "")
+#: Most letters, by frequency in the corpus, that a symbol can stand for; rounds of expectation and maximization.
+ALPHABET, ROUNDS = 192, 6
+#: A word that no page explains is looked at if other letters would fit so much better, in nats a symbol, in the place of a run
+#: of its symbols, and if the run's own pairs have less evidence than this each.
+LIFT, AT_HOME = 2.5, 3.0
+#: Prior counts of a page's own letter, and of a letter without a page.
+TRUST, LOOSE = 6.0, 0.5
+#: A free letter is believed if it leads by this share of its symbol, and if so many different words, and so large a share of those with its symbol, are then words of the corpus.
+WITNESSES, AGREE, LEADING = 4, 0.75, 0.35
+
+
+class Cipher:
+    """Forward and backward sums over the letters that the symbols of a word can stand for."""
+
+    def __init__(self, model: Model, letters: list[str]):
+        self.model, self.letters = model, letters
+        self.place = {c: k for k, c in enumerate(letters)}
+        self.between = np.array([[self.potential(a, b) for b in letters] for a in letters])
+        self.into = lru_cache(maxsize=1 << 12)(lambda c: np.array([self.potential(c, u) for u in letters]))
+        self.out_of = lru_cache(maxsize=1 << 12)(lambda c: np.array([self.potential(u, c) for u in letters]))
+
+    def potential(self, a: str, b: str) -> float:
+        return 1.0 if plain(a + b) else math.exp(self.model.value[pair(a, b)])
+
+    def strange(self, word: str) -> bool:
+        """Whether other letters would fit much better in the place of one of the word's runs of symbols."""
+        w, value, k = framed(word), self.model.value, 1
+        while k < len(w) - 1:
+            if plain(w[k]):
+                k += 1
+                continue
+            begin = k
+            while not plain(w[k]):
+                k += 1
+            own = sum(value[pair(w[j], w[j + 1])] for j in range(begin - 1, k))
+            if own < AT_HOME * (k - begin + 1):
+                best = self.into(w[begin - 1])
+                for _ in range(begin + 1, k):
+                    best = (best[:, None] * self.between).max(0)
+                if math.log(float((best * self.out_of(w[k])).max())) > own + LIFT * (k - begin):
+                    return True
+        return False
+
+    def start(self, symbol: str, swap: tuple[str, str]) -> np.ndarray:
+        """What a symbol stands for before anything is learned: the page's letter above all, or what any page makes of it."""
+        p = np.full(len(self.letters), 1.0 / len(self.letters))
+        tables = [CIPHERS[swap]] if swap in CIPHERS else CIPHERS.values()
+        for table in tables:
+            k = self.place.get(table.get(ord(symbol), "").lower())
+            if k is not None:
+                p[k] += 9.0 / len(tables)
+        return p / p.sum()
+
+    def expected(self, word: str, theta) -> list[tuple[str, np.ndarray, bool]]:
+        """(symbol, posterior over letters, at the start) of each symbol of ``word``; ``theta(symbol)`` is its present table."""
+        w = f"^{word.lower() if plain(word[:1]) else word[:1] + word[1:].lower()}$"
+        odd = [not plain(c) and c != LOST for c in w]
+        ahead: list = [None] * len(w)
+        for k, c in enumerate(w):
+            if odd[k]:
+                came = ahead[k - 1] @ self.between if odd[k - 1] else self.into(w[k - 1])
+                f = theta(c) * came
+                ahead[k] = f / max(f.sum(), 1e-300)
+        out, back = [], None
+        for k in range(len(w) - 1, 0, -1):
+            if odd[k]:
+                back = self.between @ (theta(w[k + 1]) * back) if odd[k + 1] else self.out_of(w[k + 1])
+                back = back / max(back.max(), 1e-300)
+                post = ahead[k] * back
+                out.append((w[k], post / max(post.sum(), 1e-300), k == 1))
+        return out
+
+
+def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
+    """The ciphers of each slot of sources, learned letter by letter.
+
+    (slot, wrong, true, symbol, letter, n) as rows, and the believed ones as
+    tables for translate().  Words that a one-byte swap explains start from
+    its page, strange ones that no page explains from all pages at once; both
+    are then free to become what the bigrams say.
+    """
+    spark = read_as.sparkSession
+    shared = share(spark, counts)
+    one = sorted(PAGES)
 
+    sound = F.lower(F.coalesce("back", "word"))
+    each = read_as.select(F.explode(F.split(F.regexp_replace(sound, rf"[{_java(PLAIN)}⺀-鿿豈-﫿＀-￯]", ""), "")).alias("letter"), "n").where(r"letter rlike '^\\p{L}$'")
+    shares = each.groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
+    letters = [r.letter for r in shares]
 
-def restore(text: str, model: Model, prior: dict[tuple[str, str], float]) -> tuple[bool, str]:
-    """Whether ``text`` is garbled, and the text with garbled words restored."""
-    garbled = LOST in text
-    for _ in range(3):  # text is sometimes misread more than once
+    def strange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cipher = Cipher(model_of(shared), letters)
+        for b in batches:
+            keep, swap_of = [], []
+            for word, wrong, true in zip(b["word"], b["wrong"], b["true"]):
+                if wrong is None:
+                    core = bare(word)
+                    keep.append(LOST not in core and not CJK.search(core) and cipher.strange(core))
+                    swap_of.append(FREE)
+                else:
+                    keep.append(wrong in one and true in one)
+                    swap_of.append((wrong, true))
+            out = pd.DataFrame({"slot": [slot(s) for s in b["source"]], "word": [bare(w) for w in b["word"]], "n": b["n"], "wrong": [h[0] for h in swap_of], "true": [h[1] for h in swap_of]})
+            yield out[keep]
+
+    garbled = durable(read_as.select("source", "word", "n", "wrong", "true").mapInPandas(strange, "slot int, word string, n bigint, wrong string, true string").groupBy("slot", "word", "wrong", "true").agg(F.sum("n").alias("n")))
+    none = spark.createDataFrame([], "slot int, wrong string, true string, symbol string, letter string, n double")
+    if garbled.isEmpty():
+        return none, {}
+    theta: dict = {}
+    for _ in range(ROUNDS):
+        tables = spark.sparkContext.broadcast((letters, theta))
+
+        def expect_letters(batches: Iterator[pd.DataFrame], tables=tables) -> Iterator[pd.DataFrame]:
+            letters, theta = tables.value
+            cipher, known, total = Cipher(model_of(shared), letters), {}, {}
+            for b in batches:
+                for place, word, wrong, true, n in zip(b["slot"], b["word"], b["wrong"], b["true"], b["n"]):
+                    def table(symbol: str, key=(place, wrong, true)) -> np.ndarray:
+                        p = known.get((*key, symbol))
+                        if p is None:
+                            p = cipher.start(symbol, key[1:])
+                            learned = theta.get((*key, symbol))
+                            if learned is not None:
+                                p = p * (LOOSE if key[1:] == FREE else TRUST)
+                                for k, m in learned:
+                                    p[k] += m
+                                p = p / p.sum()
+                            known[(*key, symbol)] = p
+                        return p
+
+                    for symbol, post, first in cipher.expected(word, table):
+                        row = total.setdefault((place, wrong, true, symbol), np.zeros((2, len(letters))))
+                        row += n * post * np.array([[1], [first]])
+            rows = [(*key, int(k), float(m[0, k]), float(m[1, k])) for key, m in total.items() for k in np.flatnonzero(m[0] > 0.01 * m[0].sum())]
+            yield pd.DataFrame(rows, columns=["slot", "wrong", "true", "symbol", "k", "n", "first"])
+
+        found = garbled.mapInPandas(expect_letters, "slot int, wrong string, true string, symbol string, k int, n double, first double").groupBy("slot", "wrong", "true", "symbol", "k").agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
+        rows = found.collect()  # at most SLOTS x swaps x symbols x 99 letters
+        before, theta, start = theta, {}, {}
+        for r in rows:
+            theta.setdefault((r.slot, r.wrong, r.true, r.symbol), []).append((r.k, r.n))
+            start[r.slot, r.wrong, r.true, r.symbol] = start.get((r.slot, r.wrong, r.true, r.symbol), 0.0) + r.first
+        theta = one_to_one(theta, len(letters))
+        top = lambda t: {key: max(v, key=lambda x: x[1])[0] for key, v in t.items()}
+        if top(before) == top(theta):
+            break
+    learned = []
+    for (place, wrong, true, symbol), row in theta.items():
+        k, most = max(row, key=lambda x: x[1])
+        total, letter = sum(m for _, m in row), letters[k]
+        if (wrong, true) in CIPHERS:
+            own = CIPHERS[wrong, true].get(ord(symbol))
+            if own is None or own.lower() == letter or most < TRUST or most < 0.8 * total:
+                continue  # the page's own letter stands
+        elif letter == symbol.lower() or most < LEADING * total:
+            continue
+        # case says nothing of its own: a symbol that nearly always begins words is a capital
+        capital = start[place, wrong, true, symbol] > 0.8 * total
+        learned.append((place, wrong, true, symbol, letter.upper() if capital and len(letter.upper()) == 1 else letter, float(most)))
+    if not learned:
+        return none, {}
+    rows = spark.createDataFrame(learned, none.schema)
+    return witnessed(rows, garbled, read_as)
+
+
+def one_to_one(theta: dict, n: int) -> dict:
+    """``theta`` with the counts of free symbols shared out anew, so that a page's symbols hardly stand for the same letter."""
+    out = {key: row for key, row in theta.items() if key[1:3] != FREE}
+    slots: dict = {}
+    for key, row in theta.items():
+        if key[1:3] == FREE:
+            slots.setdefault(key[0], []).append((key, row))
+    for own in slots.values():
+        total = np.array([sum(m for _, m in row) for _, row in own])
+        p = np.zeros((len(own), n))
+        for k, (_, row) in enumerate(own):
+            for letter, m in row:
+                p[k, letter] = m
+        p /= np.maximum(total, 1e-9)[:, None]
+        for _ in range(20):
+            # more symbols than one for a letter: each gets less of it, those with another choice take that
+            p /= np.maximum(1.0, p.sum(0))
+            p /= np.maximum(p.sum(1), 1e-9)[:, None]
+        for k, (key, _) in enumerate(own):
+            out[key] = [(int(c), float(p[k, c] * total[k])) for c in np.flatnonzero(p[k] > 0.01)]
+    return out
+
+
+def witnessed(rows: DataFrame, garbled: DataFrame, read_as: DataFrame) -> tuple[DataFrame, dict]:
+    """The learned letters that make words of the corpus, as rows and as tables for translate()."""
+    tables: dict = {}
+    for r in rows.collect():  # of fixed size, as above
+        tables.setdefault((r.slot, r.wrong, r.true), {})[ord(r.symbol)] = r.letter
+    shared = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def translated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for place, word, wrong, true in zip(b["slot"], b["word"], b["wrong"], b["true"]):
+                table = shared.value.get((place, wrong, true))
+                symbols = {c for c in word if table and ord(c) in table}
+                # a word with a symbol of which nothing is known is no witness
+                if symbols and all(c in symbols or plain(c) for c in word):
+                    back = word.translate(CIPHERS.get((wrong, true), {}) | table).lower()
+                    out += [(place, wrong, true, c, back) for c in symbols]
+            yield pd.DataFrame(out, columns=["slot", "wrong", "true", "symbol", "back"])
+
+    each = garbled.mapInPandas(translated, "slot int, wrong string, true string, symbol string, back string").distinct()
+    real = read_as.select(F.lower(F.regexp_replace(F.coalesce("back", "word"), r"^[^\p{L}]+|[^\p{L}]+$", "")).alias("back")).distinct().withColumn("real", F.lit(True))
+    said = each.join(real, "back", "left").groupBy("slot", "wrong", "true", "symbol").agg(F.count("*").alias("words"), F.count("real").alias("known"))
+    kept = durable(rows.join(said, ["slot", "wrong", "true", "symbol"]).where(f"known >= {WITNESSES} and known >= {AGREE} * words").select(rows.columns))
+    believed: dict = {}
+    for r in kept.collect():
+        believed.setdefault(r.slot, {}).setdefault((r.wrong, r.true), {})[ord(r.symbol)] = r.letter
+    for own in believed.values():
+        for swap in own:
+            own[swap] = CIPHERS.get(swap, {}) | own[swap]
+    return kept, believed
+
+
+def restore(text: str, model: Model, prior: dict[tuple[str, str], float], learned: dict | None = None) -> tuple[bool, str]:
+    """Whether ``text`` is garbled, and the text with garbled words restored.
+
+    ``learned`` has the tables of the text's source.  Text is sometimes misread
+    more than once, or in places by different swaps: it is read again until no
+    swap has enough evidence or a form comes back.
+    """
+    garbled, forms = LOST in text, {text}
+    while True:
         evidence: dict[tuple[str, str], float] = {}
         weak: dict[tuple[str, str], dict[str, float]] = {}
         for word in odd_words(text):
-            for swap, _, gain in model.readings(word):
+            for swap, _, gain in (*model.readings(word), *freely(word, model, learned)) if learned else model.readings(word):
                 if speaks(word, swap):
                     if gain >= WORD_GAIN:
                         evidence[swap] = evidence.get(swap, 0.0) + gain
@@ -513,10 +751,10 @@ def restore(text: str, model: Model, prior: dict[tuple[str, str], float]) -> tup
         if evidence[swap] + 0.5 * max(prior.get(swap, RARE), RARE) < DOC_GAIN:
             break
         garbled = True
-        fixed = reread(text, model, swap)
-        if fixed == text:
+        text = reread(text, model, swap, learned)
+        if text in forms:
             break
-        text = fixed
+        forms.add(text)
     return garbled, text
 
 
@@ -531,16 +769,15 @@ def repaired(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
     # most texts in English leave here, without a look at their characters one by one
     docs = docs.where((F.octet_length("text") > F.length("text")) & F.col("text").rlike(rf"[^{PLAIN}]"))
-    counts, weights = learn(docs)
-    prior = priors(weights)
-    shared = share(documents.sparkSession, counts, prior)
+    counts, weights, words = learn(docs)
+    shared = share(documents.sparkSession, counts, (priors(weights), alphabet(words, counts)[1]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, prior = model_of(shared), shared.value[2]
+        model, (prior, learned) = model_of(shared), shared.value[2]
         for b in batches:
             rows = []
             for key, value, source in zip(b["doc_id"], b["text"], b["source"]):
-                garbled, fixed = restore(value, model, prior.get(slot(source), {}))
+                garbled, fixed = restore(value, model, prior.get(slot(source), {}), learned.get(slot(source)))
                 if garbled:
                     rows.append((key, fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "restored"])
