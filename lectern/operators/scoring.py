@@ -15,6 +15,8 @@ from ..functions import text as T
 
 # The score's threshold, the frequency under which a word is rare, weights and ranges of the five features.
 HARD, RARE = 45.0, 4.0
+#: A word of zipf 4 or more is at least one in 100,000 of all words.
+COMMON = 100_000
 WEIGHTS = {"n_tok": 0.2, "depth": 0.3, "sub_clauses": 0.4, "hard_ratio": 0.1, "flesch": -0.1}
 RANGES = {"n_tok": (5, 80), "depth": (1, 16), "sub_clauses": (0, 5), "hard_ratio": (0, 1), "flesch": (0, 100)}
 
@@ -54,12 +56,18 @@ def lexicon(df: DataFrame, text: str = "text") -> DataFrame:
 def rare_word_ratio(df: DataFrame, words: DataFrame, keys: list[str], sentence: str = "sentence", out: str = "hard_ratio", keep: list[str] | None = None) -> DataFrame:
     """(keys, keep, out): share of rare words; words not listed are rare, no words give 0.
 
-    ``words`` holds (word, zipf); Spark decides by its size how to join it.
-    The words of a row stay together until they are counted, so they are
-    counted before anything is shuffled if the list is small.  Repeated rows
-    count once; ``keep`` names columns that depend on the keys.
+    ``words`` holds (word, zipf).  Only its common words are joined, all others
+    are rare by default: in a lexicon that ``lexicon`` made they are at most
+    ``COMMON``, whatever the corpus, and so they are in any list of that bound,
+    which is checked.  They are sent to all tasks, so no word is shuffled, and
+    each row's words are counted where they are.  A longer list of common
+    words is joined as Spark sees fit.  Repeated rows count once; ``keep``
+    names columns that depend on the keys.
     """
     keep = keep or []
+    words = words.where(F.col("zipf") >= RARE)
+    if words.limit(COMMON + 1).count() <= COMMON:
+        words = F.broadcast(words)
     each = df.select(*keys, *keep, F.explode_outer(T.words(sentence)).alias("_w"))
     known = words.select(F.col("word").alias("_w"), F.col("zipf").alias("_z"))
     rare = F.count_if(F.col("_w").isNotNull() & (F.coalesce(F.col("_z"), F.lit(0.0)) < RARE))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,12 +13,19 @@ from pyspark.sql import DataFrame
 def durable(df: DataFrame) -> DataFrame:
     """``df``, written to the shared checkpoint folder and read from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    used only if the session names none, as in tests on one machine.
+    The folder is the session's ``spark.checkpoint.dir``.  Where none is named,
+    a session whose tasks all run in this process gets a folder of its own; on
+    a cluster, whose executors would not share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+        if folder is None:
+            folder = tempfile.mkdtemp(prefix="lectern")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

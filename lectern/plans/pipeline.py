@@ -43,20 +43,26 @@ class Annotation:
     totals: DataFrame
 
 
-def annotate_books(files: DataFrame, lexicon: DataFrame | None = None, pattern: str | None = None, name: str | None = None, provider: P.Provider | None = None, legacy_anchor: bool = False) -> Annotation:
+def annotate_books(files: DataFrame, lexicon: DataFrame | None = None, pattern: str | None = None, name: str | None = None, provider: P.Provider | None = None, prompt: P.Prompt | None = None, legacy_anchor: bool = False) -> Annotation:
     """Books with notes: links behind their paragraphs and companion pages behind their chapters.
 
-    ``pattern`` chooses chapters by name; others stay byte for byte.  With
+    ``pattern`` chooses chapters by name; others, and those without a name,
+    stay byte for byte.  ``name`` is the book's name in the prompts; without
+    it each book's title is, and the name of unknown books where it has none.
+    ``provider`` gets the sentences and their prompts.  With
     ``legacy_anchor`` links always end in the usual suffix, even where the
     companion page has another.
     """
     # read by the links, the companion pages and the notes alike
-    chapters = durable(epub.chapters(files, durable(epub.catalogue(files)), pattern))
+    catalogued = durable(epub.catalogue(files))
+    chapters = durable(epub.chapters(files, catalogued, pattern).where(F.length("chapter_name") > 0))
     key = ["book_id", "spine_idx"]
     paragraphs = dom.page_paragraphs(chapters.select(*key, "html"))
     words = scoring.lexicon(paragraphs) if lexicon is None else lexicon
-    explained = durable(P.explained(annotated(paragraphs, key, words), provider=provider).withColumnRenamed("sentence", "text"))
-    named = notes.companion(chapters, "href").select(*key, "item_id", "chapter_name", "companion_title", "entry_path", "html", F.regexp_extract("href", r"(\.[^./]*)$", 1).alias("_suffix"))
+    books = catalogued.select("book_id", P.book_name(name, "package.title").alias("book_name"))
+    asked = annotated(paragraphs, key, words).join(books, "book_id")
+    explained = durable(P.explained(asked, provider=provider, system=(prompt or P.Prompt()).system("book_name")).withColumnRenamed("sentence", "text"))
+    named = notes.companion(chapters, "href").select(*key, "item_id", "chapter_name", "companion_title", "companion_id", "entry_path", "html", F.regexp_extract("href", r"(\.[^./]*)$", 1).alias("_suffix"))
 
     links = explained.select(*key, "note_id", "para_idx").distinct().join(named.select(*key, "chapter_name", "_suffix"), key)
     links = links.withColumn("href", notes.anchor_href("chapter_name", "note_id", None if legacy_anchor else "_suffix"))
@@ -71,7 +77,8 @@ def annotate_books(files: DataFrame, lexicon: DataFrame | None = None, pattern:
         "book_id",
         F.col("page").alias("entry_path"),
         F.encode(dom.companion_pages("html", "companion_title", "inner"), "UTF-8").alias("content"),
-        F.concat(F.lit("item_"), F.translate(F.regexp_extract("page", r"([^/]*)$", 1), ".", "_")).alias("item_id"),
+        # the id of the whole path: equal names in several folders stay apart
+        F.col("companion_id").alias("item_id"),
         F.col("item_id").alias("after_id"),
         F.col("companion_title").alias("nav_label"),
         F.col("spine_idx").alias("place"),

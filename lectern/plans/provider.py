@@ -1,6 +1,7 @@
 """Explanations from a language model: prompts, options and providers.
 
-A provider is a function from a list of sentences to a list of explanations.
+A provider is a function from a list of sentences, and a list of the system
+messages they are asked under, to a list of explanations.
 The default one is a pure formula, so that results are the same everywhere; a
 provider for a model server is loaded only if its client is installed.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.notes import ANALYSIS, FAILED, TRANSLATION, UNKNOWN_BOOK, WORDS
 
-Provider = Callable[[list[str]], list[str]]
+Provider = Callable[[list[str], list[str]], list[str]]
 
 # Options of a request to the model server.
 OPTIONS = {
@@ -64,17 +65,17 @@ def stub_column(sentence: Column | str) -> Column:
     return F.concat(F.lit(ANALYSIS + "全句共"), F.size(F.split(s, r"\s+")).cast("string"), F.lit("词。" + TRANSLATION + "（"), s, F.lit("）。" + WORDS), first)
 
 
-def server(model: str, prompt: Prompt, book: str) -> Provider:
+def server(model: str, options: dict | None = None) -> Provider:
     """A provider that asks a local model server, one sentence at a time; failures become texts."""
 
-    def ask(sentences: list[str]) -> list[str]:
+    def ask(sentences: list[str], systems: list[str]) -> list[str]:
         import ollama  # only where it is installed
 
         out = []
-        for s in sentences:
+        for s, system in zip(sentences, systems):
             try:
-                messages = [{"role": "system", "content": f"{prompt.instruction}\n\n这句话来自：“{book}”"}, {"role": "user", "content": s}]
-                reply = ollama.chat(model=model, messages=messages, options=prompt.options)
+                messages = [{"role": "system", "content": system}, {"role": "user", "content": s}]
+                reply = ollama.chat(model=model, messages=messages, options=OPTIONS if options is None else options)
                 out.append((reply.message or {}).get("content") or "")
             except Exception as e:  # noqa: BLE001
                 out.append(f"{FAILED}{e}")
@@ -83,21 +84,24 @@ def server(model: str, prompt: Prompt, book: str) -> Provider:
     return ask
 
 
-def explained(df: DataFrame, sentence: str = "sentence", provider: Provider | None = None, partitions: int | None = None, out: str = "note_content") -> DataFrame:
+def explained(df: DataFrame, sentence: str = "sentence", provider: Provider | None = None, partitions: int | None = None, out: str = "note_content", system: Column | None = None) -> DataFrame:
     """``df`` with an explanation of each sentence and whether it failed.
 
-    Equal sentences are asked once.  ``partitions`` limits how many requests
-    run at a time.
+    ``system`` is what the model is told first; by default it is told of an
+    unknown book.  Equal sentences of equal system messages are asked once.
+    ``partitions`` limits how many requests run at a time.
     """
     if provider is None:
         return df.withColumn(out, stub_column(sentence)).withColumn("note_error", F.lit(False))
-    asked = df.select(F.col(sentence).alias("_s")).distinct()
+    df = df.withColumn("_system", Prompt().system(F.lit(UNKNOWN_BOOK)) if system is None else system)
+    asked = df.select(F.col(sentence).alias("_s"), F.col("_system").alias("_t")).distinct()
     asked = asked.repartition(partitions) if partitions else asked
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"_s": b["_s"], out: provider(b["_s"].tolist())})
+            yield pd.DataFrame({"_s": b["_s"], "_t": b["_t"], out: provider(b["_s"].tolist(), b["_t"].tolist())})
 
-    answers = asked.mapInPandas(run, f"_s string, {out} string")
-    joined = df.drop(out, "note_error").join(answers, F.col(sentence).eqNullSafe(F.col("_s")), "left").drop("_s")
+    answers = asked.mapInPandas(run, f"_s string, _t string, {out} string")
+    same = F.col(sentence).eqNullSafe(F.col("_s")) & F.col("_system").eqNullSafe(F.col("_t"))
+    joined = df.drop(out, "note_error").join(answers, same, "left").drop("_s", "_t", "_system")
     return joined.withColumn("note_error", F.coalesce(F.startswith(out, F.lit(FAILED)), F.lit(False)))

@@ -32,8 +32,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def english(spark: SparkSession, folder: str) -> DataFrame:
-    """English documents as chapters."""
-    return spread(table(spark, folder, "documents").where("lang = 'en'").select("doc_id", "text"))
+    """Documents as chapters, whatever their language is said to be: what is no English fails the checks of its sentences."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def split(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,9 +172,11 @@ def available_models(spark, folder):
 
 @query
 def broken_links(spark, folder):
-    """Notes whose sentence is not among the sentences."""
-    links = distinct_notes(spark, folder).select(*SENTENCE)
-    return notes.broken_links(links, table(spark, folder, "sentences").select(*SENTENCE), SENTENCE)
+    """Entries of the spine that name no item, and notes whose sentence is not among the sentences."""
+    links = table(spark, folder, "spine").select("book_id", "spine_idx", F.col("idref").alias("item_id")).distinct()
+    unnamed = notes.broken_links(links, table(spark, folder, "manifest").select("book_id", "item_id"), ["book_id", "item_id"])
+    lost = notes.broken_links(distinct_notes(spark, folder).select(*SENTENCE), table(spark, folder, "sentences").select(*SENTENCE), SENTENCE)
+    return unnamed.select(*CHAPTER, F.col("item_id").alias("target")).unionByName(lost.select(*CHAPTER, F.concat_ws("-", "para_idx", "sent_idx").alias("target")))
 
 
 @query
@@ -192,7 +194,7 @@ def chat_messages(spark, folder):
 
 @query
 def book_name_default(spark, folder):
-    own = table(spark, folder, "documents").select("doc_id", P.book_name(None, F.when(F.col("lang") == "en", F.col("book_id"))).alias("book_name"))
+    own = table(spark, folder, "documents").select("doc_id", P.book_name(None, "book_id").alias("book_name"))
     return own
 
 
@@ -386,7 +388,7 @@ def books(spark: SparkSession, folder: str) -> DataFrame:
     """Entries of all books, their pages made of the paragraphs."""
     order = spine_manifest_join(spark, folder).where(F.col("media_type") == epub.XHTML_TYPE)
     html = order.join(pages(spark, folder), CHAPTER).select("book_id", "href", "html").dropDuplicates(["book_id", "href"])
-    titles = order.select("book_id").distinct().withColumn("title", F.concat(F.lit("Book & "), "book_id"))
+    titles = order.select("book_id").distinct().withColumn("title", F.concat(F.lit("Book & "), "book_id")).withColumn("creators", F.array(F.lit("First & Co."), F.col("book_id"), F.lit("Third")))
     return durable(epub.built(table(spark, folder, "manifest"), table(spark, folder, "spine"), html, titles))
 
 
@@ -434,8 +436,9 @@ def metadata_rewritten(spark, folder):
     """Titles and authors of all books after both are set."""
     files = books(spark, folder)
     none = spark.createDataFrame([], "book_id string, entry_path string, content binary")
-    done = epub.catalogue(epub.changed(files, none, title="A <new> title", authors=["A. Writer"]))
-    return done.select("book_id", "package.title", F.size("package.authors").cast("bigint").alias("n_authors"))
+    done = epub.catalogue(epub.changed(files, none, title="A <new> title", authors=["A. Writer", "B. <Writer>"]))
+    before = epub.catalogue(files).select("book_id", F.array_join("package.authors", "; ").alias("authors_before"))
+    return done.select("book_id", "package.title", F.array_join("package.authors", "; ").alias("authors")).join(before, "book_id")
 
 
 def queries() -> dict[str, Query]:

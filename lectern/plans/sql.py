@@ -19,7 +19,7 @@ paras AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, CAST(generate
 parts AS (SELECT doc_id, pi, regexp_extract_all(p, '[^.!?。！？\n]+[.!?。！？’"*]*', 0) AS ss FROM paras),
 sents AS (SELECT doc_id, pi, CAST(generate_subscripts(ss, 1) - 1 AS INT) AS si, trim(unnest(ss), ' ') AS s FROM parts)
 """
-EN = "docs AS (SELECT doc_id, text FROM documents WHERE lang = 'en'),"
+EN = "docs AS (SELECT doc_id, text FROM documents),"
 ALPHA = rf"len(list_filter(regexp_split_to_array(s, '{SPACE}+'), lambda w: regexp_full_match(w, '\p{{L}}+')))"
 KEPT = f"kept AS (SELECT * FROM sents WHERE length(s) >= 5 AND right(s, 1) IN ({ENDS}) AND {ALPHA} > 3)"
 FEATS = rf"""
@@ -117,11 +117,12 @@ SELECT {CHAPTER}, note_id, '<h3 id="llmnote-' || note_id || '">#' || note_id ||
     "run_totals": f"WITH {NOTES} SELECT (SELECT count(*) FROM (SELECT DISTINCT {CHAPTER} FROM n)) AS n_chapters, (SELECT count(*) FROM (SELECT DISTINCT {CHAPTER}, note_id FROM n WHERE note_id IS NOT NULL)) AS n_paragraphs, count(*) AS n_notes, count(*) FILTER (WHERE coalesce(note_error, false)) AS n_failed FROM n",
     "model_lookup": f"WITH d AS (SELECT DISTINCT {SENTENCE}, model FROM notes), m AS (SELECT DISTINCT name, tag, description FROM models) SELECT {SENTENCE}, model, tag, coalesce(description, '未知模型') AS description FROM d LEFT JOIN m ON d.model = m.name",
     "available_models": "SELECT DISTINCT name, tag FROM models",
-    "broken_links": f"WITH {NOTES} SELECT {SENTENCE} FROM n ANTI JOIN sentences USING ({SENTENCE})",
+    "broken_links": f"""WITH {NOTES}, sp AS (SELECT DISTINCT {CHAPTER}, idref AS item_id FROM spine)
+SELECT {CHAPTER}, item_id AS target FROM sp ANTI JOIN manifest USING (book_id, item_id) UNION ALL SELECT {CHAPTER}, concat_ws('-', para_idx, sent_idx) FROM n ANTI JOIN sentences USING ({SENTENCE})""",
     "stub_explanations": rf"WITH {EN} {SPLIT}, {KEPT}, {FEATS}, {LEX}, {RATIO}, {SCORED} SELECT doc_id, pi AS para_idx, si AS sent_idx, '分析：全句共' || len(regexp_split_to_array(s, '[\s\x0b]+')) || '词。整体翻译：（' || s || '）。单词解释：' || regexp_extract(s, '\p{{L}}+') AS note_content, false AS note_error FROM final WHERE score > 45e0",
     "chat_messages": f"""WITH {NOTES} SELECT {SENTENCE}, 'system' AS role, '为英文句子写一行中文说明，格式为“分析：…整体翻译：…单词解释：…”。' || chr(10) || chr(10) || '这句话来自：“' || coalesce(nullif(book_id, ''), '未知书籍') || '”' AS content FROM n
 UNION ALL SELECT {SENTENCE}, 'user', coalesce(text, '') FROM n""",
-    "book_name_default": "SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN book_id END, ''), '未知书籍') AS book_name FROM documents",
+    "book_name_default": "SELECT doc_id, coalesce(nullif(book_id, ''), '未知书籍') AS book_name FROM documents",
     "spine_manifest_join": f"WITH {ORDER} SELECT book_id, spine_idx, item_id, href, media_type FROM ro",
     "xhtml_chapters": f"WITH {ORDER} SELECT {CHAPTER}, href, url_decode(href) AS path FROM ro WHERE media_type = 'application/xhtml+xml'",
     "chapter_filter": f"WITH {ORDER}, s AS (SELECT {CHAPTER}, {STEM} AS chapter_name FROM ro) SELECT * FROM s WHERE regexp_matches(chapter_name, 'ch[0-9]*[05]$')",
@@ -149,6 +150,16 @@ SELECT {SENTENCE}, pos, note_content FROM l JOIN r USING ({CHAPTER}, pos) WHERE
     "html_escape": f"SELECT doc_id, {escaped('text', True)} AS escaped FROM documents",
     "page_paragraphs": f"WITH {RANKED} SELECT {CHAPTER}, para_idx, text FROM tp",
     "fragment_counts": f"WITH {RANKED} SELECT {CHAPTER}, 2 + count(*) + count(*) - 1 - (count(*) - 1) AS n FROM rp GROUP BY {CHAPTER}",
+    "page_fragments": f"""WITH {RANKED} SELECT {CHAPTER}, CAST(2 + para_idx AS INT) AS frag_idx, 'WHOLE_DOM' AS position, coalesce(full_text, '') || CASE WHEN para_idx < max(para_idx) OVER (PARTITION BY {CHAPTER}) THEN chr(10) ELSE '' END AS text FROM rp""",
+    "page_rewrite": f"""WITH {RANKED} SELECT {CHAPTER}, CAST(2 * para_idx AS INT) AS para_idx, text FROM tp UNION ALL SELECT {CHAPTER}, CAST(2 * para_idx + 1 AS INT), 't' || (para_idx + 3) FROM rp""",
+    "epub_annotated": f"""WITH {ORDER}, {XHTML}, {RANKED},
+docs AS (SELECT book_id || '|' || spine_idx || '|' || para_idx AS doc_id, text FROM tp JOIN (SELECT {CHAPTER} FROM x) USING ({CHAPTER})),
+{SPLIT}, {KEPT}, {FEATS}, lex AS (SELECT lower(word) AS word, max(zipf) AS zipf FROM lexicon GROUP BY 1), {RATIO}, {SCORED},
+hard AS (SELECT DISTINCT doc_id, split_part(doc_id, '|', 1) AS book_id, split_part(doc_id, '|', 2) AS chapter FROM final WHERE score > 45e0),
+c AS (SELECT book_id, count(*) AS n, count(DISTINCT chapter) AS added FROM hard GROUP BY book_id),
+s AS (SELECT book_id, count(*) AS n FROM (SELECT DISTINCT book_id, spine_idx, idref FROM spine) GROUP BY book_id),
+v AS (SELECT book_id, count(*) AS n FROM ro GROUP BY book_id), b AS (SELECT DISTINCT book_id FROM manifest)
+SELECT b.book_id, coalesce(s.n, 0) + coalesce(added, 0) AS n_spine, coalesce(v.n, 0) + coalesce(added, 0) AS n_nav, coalesce(c.n, 0) AS n_links, coalesce(c.n, 0) AS n_targets FROM b LEFT JOIN s USING (book_id) LEFT JOIN v USING (book_id) LEFT JOIN c USING (book_id)""",
     "anchor_insert": f"""WITH {ORDER}, {NOTES}, {RANKED}, i AS (SELECT DISTINCT {CHAPTER}, para_idx, note_id FROM n WHERE note_id IS NOT NULL),
 c AS (SELECT {CHAPTER}, max(para_idx) AS top FROM rp GROUP BY {CHAPTER})
 SELECT {CHAPTER}, {STEM} || '_ext.html#llmnote-' || note_id AS href FROM (SELECT {CHAPTER}, para_idx, arg_max(note_id, note_id) AS note_id FROM i GROUP BY {CHAPTER}, para_idx) JOIN ro USING ({CHAPTER}) JOIN c USING ({CHAPTER}) WHERE para_idx <= top""",
@@ -163,5 +174,5 @@ SELECT b.book_id, CASE WHEN t.book_id IS NOT NULL THEN 'Book & ' || b.book_id EN
 SELECT {CHAPTER}, count(*) AS n, sum(length(text)) AS n_chars FROM tp JOIN h USING ({CHAPTER}) GROUP BY {CHAPTER}""",
     "nav_relabelled": f"""WITH {ORDER}, v AS (SELECT book_id, item_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_idx) - 1 AS k FROM ro)
 SELECT book_id, CAST(k AS INT) AS nav_idx, CASE WHEN k % 2 = 1 OR upper(item_id) = item_id THEN item_id ELSE item_id || ' - ' || upper(item_id) END AS label FROM v""",
-    "metadata_rewritten": f"WITH {ORDER}, {XHTML}, t AS (SELECT DISTINCT book_id FROM x) SELECT DISTINCT manifest.book_id, CASE WHEN t.book_id IS NOT NULL THEN 'A <new> title' END AS title, CAST(0 AS BIGINT) AS n_authors FROM manifest LEFT JOIN t ON manifest.book_id = t.book_id",
+    "metadata_rewritten": f"WITH {ORDER}, {XHTML}, t AS (SELECT DISTINCT book_id FROM x) SELECT DISTINCT manifest.book_id, CASE WHEN t.book_id IS NOT NULL THEN 'A <new> title' END AS title, CASE WHEN t.book_id IS NOT NULL THEN 'A. Writer; B. <Writer>' ELSE '' END AS authors, CASE WHEN t.book_id IS NOT NULL THEN 'First & Co.; ' || t.book_id || '; Third' ELSE '' END AS authors_before FROM manifest LEFT JOIN t ON manifest.book_id = t.book_id",
 }

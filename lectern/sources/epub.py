@@ -12,6 +12,7 @@ import io
 import posixpath
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,10 +30,11 @@ NCX = "http://www.daisy.org/z3986/2005/ncx/"
 #: Largest entry and largest book, unpacked, in bytes.
 ENTRY_BYTES, BOOK_BYTES = 64 << 20, 1 << 30
 
+REFUSALS = (ValueError, TypeError, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError)
 ENTRIES = "book_id string, entry_path string, content binary"
 
 
-def unpack(content: bytes) -> Iterator[tuple[str, bytes]]:
+def unpack(content: bytes, entry_bytes: int = ENTRY_BYTES, book_bytes: int = BOOK_BYTES) -> Iterator[tuple[str, bytes]]:
     """Files of a container; refuses unsafe names and oversized contents."""
     total = 0
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -43,7 +45,7 @@ def unpack(content: bytes) -> Iterator[tuple[str, bytes]]:
             if name.startswith(("/", "\\")) or ".." in name.replace("\\", "/").split("/") or ":" in name.split("/")[0]:
                 raise ValueError(f"unsafe entry name: {name}")
             total += info.file_size
-            if info.file_size > ENTRY_BYTES or total > BOOK_BYTES:
+            if info.file_size > entry_bytes or total > book_bytes:
                 raise ValueError(f"entry too large: {name}")
             yield name, z.read(info)
 
@@ -66,18 +68,40 @@ def read_books(spark: SparkSession, path: str, glob: str = "*.epub") -> DataFram
     return files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("book_id"), "content")
 
 
-def entries(books: DataFrame) -> DataFrame:
-    """One row for each file of each book."""
+def entries(books: DataFrame, entry_bytes: int = ENTRY_BYTES, book_bytes: int = BOOK_BYTES) -> DataFrame:
+    """One row for each file of each book; books that ``refused`` lists give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for book, content in zip(b["book_id"], b["content"]):
-                rows = [(book, name, data) for name, data in unpack(content)]
+                try:
+                    rows = [(book, name, data) for name, data in unpack(content, entry_bytes, book_bytes)]
+                except REFUSALS:
+                    rows = []
                 yield pd.DataFrame(rows, columns=["book_id", "entry_path", "content"])
 
     return books.select("book_id", "content").mapInPandas(run, ENTRIES)
 
 
+def refused(books: DataFrame, entry_bytes: int = ENTRY_BYTES, book_bytes: int = BOOK_BYTES) -> DataFrame:
+    """(book_id, reason) of the books that are no readable container, are too large or have unsafe names: one of them ends no job."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for book, content in zip(b["book_id"], b["content"]):
+                try:
+                    names = {name for name, _ in unpack(content, entry_bytes, book_bytes)}
+                    reason = None if CONTAINER in names else f"no {CONTAINER}"
+                except REFUSALS as e:
+                    reason = str(e)
+                if reason:
+                    rows.append((book, reason))
+            yield pd.DataFrame(rows, columns=["book_id", "reason"])
+
+    return books.select("book_id", "content").mapInPandas(run, "book_id string, reason string")
+
+
 def _local(node: ET.Element, name: str) -> ET.Element | None:
     return next((n for n in node.iter() if dom.local(n.tag) == name.lower()), None)
 
@@ -345,7 +369,7 @@ def write_books(books: DataFrame, folder: str) -> DataFrame:
 
 
 def built(manifest: DataFrame, spine: DataFrame, pages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
-    """Entries of books from their tables: manifest, spine, pages (book_id, href, html) and titles (book_id, title).
+    """Entries of books from their tables: manifest, spine, pages (book_id, href, html) and titles (book_id, title, creators).
 
     Navigation lists the spine's pages in order.  Items without a page get no file.
     """
@@ -356,12 +380,12 @@ def built(manifest: DataFrame, spine: DataFrame, pages: DataFrame, titles: DataF
     refs = spine.select("book_id", "spine_idx", "idref").distinct().groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("spine_idx", "idref"))).alias("refs"))
     nav = reading_order(spine, manifest).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("spine_idx", "item_id", "href"))).alias("points"))
     books = lists.join(refs, "book_id", "left").join(nav, "book_id", "left")
-    books = books.join(titles.select("book_id", "title"), "book_id", "left") if titles is not None else books.withColumn("title", F.lit(None).cast("string"))
+    books = books.join(titles.select("book_id", "title", "creators" if "creators" in titles.columns else F.array().cast("array<string>").alias("creators")), "book_id", "left") if titles is not None else books.withColumn("title", F.lit(None).cast("string")).withColumn("creators", F.array().cast("array<string>"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                meta = dom.element("dc:title", r.title) if r.title else ""
+                meta = (dom.element("dc:title", r.title) if r.title else "") + "".join(dom.element("dc:creator", c) for c in (r.creators if r.creators is not None else ()))
                 rows = "".join(f"<item{_attributes(id=i['item_id'], href=i['href'], media__type=i['media_type'])}/>" for i in r.items)
                 order = "".join(f"<itemref{_attributes(idref=i['idref'])}/>" for i in (r.refs if r.refs is not None else ()))
                 points = "".join(

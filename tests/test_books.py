@@ -133,3 +133,39 @@ def test_folder_with_log(spark, tmp_path):
     done = pipeline.annotate_folder(spark, str(source), str(tmp_path / "out"), logs=str(tmp_path / "logs"), lexicon=lexicon).collect()
     assert [r.book_id for r in done] == ["book"] and (tmp_path / "out" / "book.epub").stat().st_size == done[0].bytes
     assert "n_notes 6" in next((tmp_path / "logs").glob("annotate_*.log")).read_text()
+
+
+def shelf(spark):
+    """Two books; one has chapters of the same file name in two folders, the other no title."""
+    text = "Although the captain remembered the melancholy obligation, the perpetual circumspection, which precipitated an imperceptible deterioration that everyone corroborated, vindicated those who listened because the magistrate equivocated."
+    manifest = [("b1", 0, "x1", "a/ch1.xhtml", epub.XHTML_TYPE), ("b1", 1, "x2", "b/ch1.xhtml", epub.XHTML_TYPE), ("b1", 2, "ncx", "toc.ncx", epub.NCX_TYPE), ("b2", 0, "y1", "ch1.html", epub.XHTML_TYPE), ("b2", 1, "y2", ".html", epub.XHTML_TYPE), ("b2", 2, "ncx", "toc.ncx", epub.NCX_TYPE)]
+    spine = [("b1", 0, "x1"), ("b1", 1, "x2"), ("b2", 0, "y1"), ("b2", 1, "y2")]
+    pages = [(b, h, NS.format(f"<p>{text}</p>")) for b, _, _, h, t in manifest if t == epub.XHTML_TYPE]
+    return epub.built(
+        spark.createDataFrame(manifest, "book_id string, ord int, item_id string, href string, media_type string"),
+        spark.createDataFrame(spine, "book_id string, spine_idx int, idref string"),
+        spark.createDataFrame(pages, "book_id string, href string, html string"),
+        spark.createDataFrame([("b1", "The First", ["A", "B"])], "book_id string, title string, creators array<string>"),
+    )
+
+
+def test_shelf_annotated(spark):
+    files = shelf(spark)
+    lexicon = spark.createDataFrame([("the", 7.0)], "word string, zipf double")
+    done = pipeline.annotate_books(files, lexicon=lexicon, provider=lambda sentences, systems: [s[-20:] for s in systems])
+    said = {(r.book_id, r.note_content) for r in done.notes.collect()}
+    assert {b for b, _ in said} == {"b1", "b2"}
+    assert all(("“The First”" if b == "b1" else "“未知书籍”") in c for b, c in said)
+    entries = done.entries.cache()
+    manifest = epub.relation(epub.catalogue(entries), "manifest").where("item_id like 'item%'")
+    assert {(r.book_id, r.item_id, r.href) for r in manifest.collect()} >= {("b1", "item_a/ch1_ext_xhtml", "a/ch1_ext.xhtml"), ("b1", "item_b/ch1_ext_xhtml", "b/ch1_ext.xhtml"), ("b2", "item_ch1_ext_html", "ch1_ext.html")}
+    named = pipeline.annotate_books(files, lexicon=lexicon, name="Mine", provider=lambda sentences, systems: systems)
+    assert all("“Mine”" in r.note_content for r in named.notes.collect())
+
+
+def test_refused_books(spark):
+    rows = [("good", epub.pack([(epub.CONTAINER, b"<x/>"), ("a.txt", b"12345")])), ("broken", b"no zip"), ("null", None), ("large", epub.pack([(epub.CONTAINER, b"<x/>"), ("a.txt", b"1" * 5000)])), ("bare", epub.pack([("a.txt", b"1")]))]
+    books = spark.createDataFrame(rows, "book_id string, content binary")
+    assert {r.book_id for r in epub.refused(books, entry_bytes=1000).collect()} == {"broken", "null", "large", "bare"}
+    assert {r.book_id for r in epub.entries(books, entry_bytes=1000).collect()} == {"good", "bare"}
+    assert epub.refused(books.limit(0)).count() == 0

@@ -124,7 +124,7 @@ def test_rare_words(spark):
 
 def test_providers(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, None)], "k int, sentence string")
-    asked = P.explained(df, provider=lambda s: [f"Ollama请求失败: {x}" for x in s]).collect()
+    asked = P.explained(df, provider=lambda s, systems: [f"Ollama请求失败: {x}" for x in s]).collect()
     assert {(r.k, r.note_error) for r in asked} == {(1, True), (2, True), (3, True)}
     assert all(not r.note_error for r in P.explained(df).collect())
 
