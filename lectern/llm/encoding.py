@@ -220,8 +220,23 @@ def mended(raw: tuple[bytes, ...], true: str) -> str:
     return LOST.join(out)
 
 
+class _Side(dict):
+    """A letter's share of the hash of a pair, kept once computed."""
+
+    def __init__(self, share):
+        self.share = share
+
+    def __missing__(self, c: str) -> int:
+        self[c] = h = self.share(ord(c))
+        return h
+
+
+LEFT = _Side(lambda c: (c * 0x9E3779B1) & (SIZE - 1))
+RIGHT = _Side(lambda c: ((c * 0x85EBCA77) ^ (c >> 3)) & (SIZE - 1))
+
+
 def pair(a: str, b: str) -> int:
-    return ((ord(a) * 0x9E3779B1) ^ (ord(b) * 0x85EBCA77) ^ (ord(b) >> 3)) & (SIZE - 1)
+    return LEFT[a] ^ RIGHT[b]
 
 
 def framed(word: str) -> str:
@@ -237,7 +252,7 @@ def pairs(word: str) -> list[int]:
 
 
 def between(padded: str) -> list[int]:
-    return [pair(a, b) for a, b in zip(padded, padded[1:]) if a > "\x7f" and a not in MARKS or b > "\x7f" and b not in MARKS]
+    return [LEFT[a] ^ RIGHT[b] for a, b in zip(padded, padded[1:]) if a > "\x7f" and a not in MARKS or b > "\x7f" and b not in MARKS]
 
 
 class Model:
@@ -251,19 +266,25 @@ class Model:
 
     def score(self, word: str, misses: float = math.inf) -> float:
         """Sum over the bigrams; minus infinity as soon as more than ``misses`` were never seen."""
-        value, total = self.value, 0.0
-        for p in pairs(word):
-            v = value[p]
-            total += v
-            if v < -2.0:
-                misses -= 1
-                if misses < 0:
-                    return -math.inf
+        value, total, padded = self.value, 0.0, framed(word)
+        for part in padded.split(LOST) if LOST in padded else (padded,):
+            a, odd = "", False
+            for b in part:
+                was, odd = odd, b > "\x7f" and b not in MARKS
+                if (odd or was) and a:
+                    v = value[LEFT[a] ^ RIGHT[b]]
+                    total += v
+                    if v < -2.0:
+                        misses -= 1
+                        if misses < 0:
+                            return -math.inf
+                a = b
         return total
 
     def parts(self, run: str, wrong: str, cost: float = PART) -> tuple[str, float]:
         """``run`` with its parts restored that are UTF-8 read in ``wrong``, and the evidence for them."""
-        value = lambda a, b: 0.0 if LOST in (a, b) or a <= "\x7f" and b <= "\x7f" else self.value[pair(a, b)]
+        table = self.value
+        value = lambda a, b: 0.0 if a == LOST or b == LOST or a <= "\x7f" and b <= "\x7f" else table[LEFT[a] ^ RIGHT[b]]
         each, out, gain, done, k = atoms(run, wrong), [], 0.0, 0, 0
         while k < len(each):
             begin, end, back = each[k]
@@ -519,12 +540,15 @@ class Cipher:
     def __init__(self, model: Model, letters: list[str]):
         self.model, self.letters = model, letters
         self.place = {c: k for k, c in enumerate(letters)}
-        self.between = np.array([[self.potential(a, b) for b in letters] for a in letters])
-        self.into = lru_cache(maxsize=1 << 12)(lambda c: np.array([self.potential(c, u) for u in letters]))
-        self.out_of = lru_cache(maxsize=1 << 12)(lambda c: np.array([self.potential(u, c) for u in letters]))
+        self.code = np.array([ord(c) for c in letters], np.int64)
+        self.table = np.exp(np.array(model.value))
+        self.between = self.potentials(self.code[:, None], self.code[None, :])
+        self.into = lru_cache(maxsize=1 << 12)(lambda c: self.potentials(np.int64(ord(c)), self.code))
+        self.out_of = lru_cache(maxsize=1 << 12)(lambda c: self.potentials(self.code, np.int64(ord(c))))
 
-    def potential(self, a: str, b: str) -> float:
-        return 1.0 if plain(a + b) else math.exp(self.model.value[pair(a, b)])
+    def potentials(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of pairs of code points, of which at least one is a letter beyond ASCII; as ``pair`` has them."""
+        return self.table[((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (b >> 3)) & (SIZE - 1)]
 
     def strange(self, word: str) -> bool:
         """Whether other letters would fit much better in the place of one of the word's runs of symbols."""
@@ -585,33 +609,44 @@ def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
     """
     spark = read_as.sparkSession
     shared = share(spark, counts)
-    one = sorted(PAGES)
-
     sound = F.lower(F.coalesce("back", "word"))
     each = read_as.select(F.explode(F.split(F.regexp_replace(sound, rf"[{_java(PLAIN)}⺀-鿿豈-﫿＀-￯]", ""), "")).alias("letter"), "n").where(r"letter rlike '^\\p{L}$'")
     shares = each.groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(ALPHABET).collect()
     letters = [r.letter for r in shares]
 
     def strange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cipher = Cipher(model_of(shared), letters)
+        model = model_of(shared)
+        cipher, value = Cipher(model, letters), model.value
         for b in batches:
-            keep, swap_of = [], []
-            for word, wrong, true in zip(b["word"], b["wrong"], b["true"]):
+            rows, sure = [], Counter()
+            for source, word, n, wrong, true, back in zip(b["source"], b["word"], b["n"], b["wrong"], b["true"], b["back"]):
                 if wrong is None:
                     core = bare(word)
-                    keep.append(LOST not in core and not CJK.search(core) and cipher.strange(core))
-                    swap_of.append(FREE)
-                else:
-                    keep.append(wrong in one and true in one)
-                    swap_of.append((wrong, true))
-            out = pd.DataFrame({"slot": [slot(s) for s in b["source"]], "word": [bare(w) for w in b["word"]], "n": b["n"], "wrong": [h[0] for h in swap_of], "true": [h[1] for h in swap_of]})
-            yield out[keep]
-
-    garbled = durable(read_as.select("source", "word", "n", "wrong", "true").mapInPandas(strange, "slot int, word string, n bigint, wrong string, true string").groupBy("slot", "word", "wrong", "true").agg(F.sum("n").alias("n")))
+                    if LOST not in core and not CJK.search(core) and cipher.strange(core):
+                        rows.append((slot(source), core, n, *FREE, None, None))
+                elif wrong in TO_BYTE and true in TO_BYTE:
+                    if min((value[p] for p in pairs(back)), default=0.0) < 0:
+                        rows.append((slot(source), bare(word), n, wrong, true, None, None))
+                    else:  # the page explains every letter
+                        for c, letter in zip(word, back):
+                            if c != letter:
+                                sure[slot(source), wrong, true, c, letter.lower()] += n
+            rows += [(place, None, n, wrong, true, c, letter) for (place, wrong, true, c, letter), n in sure.items()]
+            yield pd.DataFrame(rows, columns=["slot", "word", "n", "wrong", "true", "symbol", "letter"])
+
+    seen = read_as.mapInPandas(strange, "slot int, word string, n bigint, wrong string, true string, symbol string, letter string")
+    # few rows, read in every round: over all cores
+    garbled = durable(seen.groupBy("slot", "word", "wrong", "true", "symbol", "letter").agg(F.sum("n").alias("n")).repartition(spark.sparkContext.defaultParallelism, "slot", "word", "symbol"))
     none = spark.createDataFrame([], "slot int, wrong string, true string, symbol string, letter string, n double")
+    place_of = {c: k for k, c in enumerate(letters)}
+    explained: dict = {}
+    for r in garbled.where("word is null").collect():  # at most SLOTS x swaps x symbols
+        if r.letter in place_of:
+            explained.setdefault((r.slot, r.wrong, r.true, r.symbol), []).append((place_of[r.letter], float(r.n)))
+    garbled = garbled.where("word is not null").select("slot", "word", "wrong", "true", "n")
     if garbled.isEmpty():
         return none, {}
-    theta: dict = {}
+    theta: dict = explained
     for _ in range(ROUNDS):
         tables = spark.sparkContext.broadcast((letters, theta))
 
@@ -641,11 +676,12 @@ def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
 
         found = garbled.mapInPandas(expect_letters, "slot int, wrong string, true string, symbol string, k int, n double, first double").groupBy("slot", "wrong", "true", "symbol", "k").agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
         rows = found.collect()  # at most SLOTS x swaps x symbols x 99 letters
-        before, theta, start = theta, {}, {}
+        before, theta, start = theta, {key: list(row) for key, row in explained.items()}, {}
         for r in rows:
             theta.setdefault((r.slot, r.wrong, r.true, r.symbol), []).append((r.k, r.n))
             start[r.slot, r.wrong, r.true, r.symbol] = start.get((r.slot, r.wrong, r.true, r.symbol), 0.0) + r.first
         theta = one_to_one(theta, len(letters))
+        theta = {key: list(combined(row).items()) for key, row in theta.items()}
         top = lambda t: {key: max(v, key=lambda x: x[1])[0] for key, v in t.items()}
         if top(before) == top(theta):
             break
@@ -660,7 +696,7 @@ def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
         elif letter == symbol.lower() or most < LEADING * total:
             continue
         # case says nothing of its own: a symbol that nearly always begins words is a capital
-        capital = start[place, wrong, true, symbol] > 0.8 * total
+        capital = start.get((place, wrong, true, symbol), 0.0) > 0.8 * total
         learned.append((place, wrong, true, symbol, letter.upper() if capital and len(letter.upper()) == 1 else letter, float(most)))
     if not learned:
         return none, {}
@@ -668,6 +704,13 @@ def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
     return witnessed(rows, garbled, read_as)
 
 
+def combined(row: list[tuple[int, float]]) -> Counter:
+    total: Counter = Counter()
+    for k, m in row:
+        total[k] += m
+    return total
+
+
 def one_to_one(theta: dict, n: int) -> dict:
     """``theta`` with the counts of free symbols shared out anew, so that a page's symbols hardly stand for the same letter."""
     out = {key: row for key, row in theta.items() if key[1:3] != FREE}
