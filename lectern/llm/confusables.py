@@ -23,11 +23,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of Cyrillic and Greek that look like Latin letters.
+# Letters of other scripts that look like Latin letters.
 LOOKALIKES = {
     "Cyrillic": dict(zip("аеорсухіјѕԁһԛԝкмтвнАВЕЅІЈКМНОРСТУХЗѵӏ", "aeopcyxijsdhqwkmtbhABESIJKMHOPCTYX3vl")),
     "Greek": dict(zip("οανιρυκτχωγμηΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oavipuktxwyunABEZHIKMNOPTYXcj")),
+    "Armenian": dict(zip("օսհոզցյաւՏՍԼՕՀ", "ouhnqgjwlSULOZ")),
+    "Cherokee": dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏔᏙᏚᏞᏟᏢᏦᏴᏏᏧᎵᎥᏳ", "DRTAJEWMHGZWVSLCPKBbdPiG")),
+    "Coptic": dict(zip("ⲟⲣⲥⲭⲓⲕⲩⲞⲢⲤⲔⲎⲘⲚⲦⲬⲂⲀⲒⲨⲌ", "opcxikyOPCKHMNTXBAIYZ")),
 }
+# Letters of phonetic spelling that look like plain Latin ones; in a word of plain letters they stand for these.
+PHONETIC = dict(zip("ɑɡɩʋɯ", "agivw"))
 #: Writing systems made of several scripts.
 SYSTEMS = {"Han": ("Jpan", "Kore", "Hanb"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",), "Bopomofo": ("Hanb",)}
 #: Scripts whose normal spelling uses the joiner and the non-joiner.
@@ -38,7 +43,7 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿
 #: Letters and digits of unusual width or shape, and joined letters.
 FORMS = "ĲĳŉǄ-ǌǱ-ǳ℀-⅏⼀-⿟豈-﫿ﬀ-ﭏﭐ-﷿ﹰ-ﻼ０-９Ａ-Ｚａ-ｚｦ-ﾟﾡ-ￜ\U0001d400-\U0001d7ff"
 #: Characters that can make a value a case.  A value without any is in the consistent form.
-SUSPECT = f"[{SPACES}{INVISIBLE}{FORMS}̀-ͯͰ-ԯԱ-֏Ⴀ-ჿᎠ-᏿ᄀ-ᇿᲀ-᲏ᴀ-ᶿⲀ-⳿゙゚Ꙁ-ꚟ]"
+SUSPECT = f"[{SPACES}{INVISIBLE}{FORMS}ɑɡɩʋɯ̀-ͯͰ-ԯԱ-֏Ⴀ-ჿᎠ-᏿ᄀ-ᇿᲀ-᲏ᴀ-ᶿⲀ-⳿゙゚Ꙁ-ꚟ]"
 _INVISIBLE = regex.compile(f"[{INVISIBLE}]")
 _SPACE = regex.compile(f"[{SPACES}]")
 _ALLOWED = regex.compile(
@@ -52,11 +57,14 @@ _WIDE_SPACE = regex.compile(r"(?<=^|\n|[\p{Han}\p{Hiragana}\p{Katakana}、-〟
 _FORM = regex.compile(f"[{FORMS}]")
 _APART = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Hiragana}\p{Katakana}][̀-゙゚ͯ]+|[ᄀ-ᄒ][ᅡ-ᅵ][ᆨ-ᇂ]?")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+#: A phonetic letter inside a word of at least two plain letters, and no other phonetic sign near.
+_PHONETIC = regex.compile(rf"(?<![\p{{L}}\p{{M}}/\[ˈˌː])(?=[A-Za-z{''.join(PHONETIC)}]*[{''.join(PHONETIC)}])(?=[{''.join(PHONETIC)}]*[A-Za-z][{''.join(PHONETIC)}]*[A-Za-z])[A-Za-z{''.join(PHONETIC)}]+(?![\p{{L}}\p{{M}}/\]ˈˌː])")
 _SCRIPTS = [(n, regex.compile(rf"\p{{scx={n}}}")) for n in ("Latin", "Cyrillic", "Greek", "Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Arabic", "Hebrew", "Armenian", "Georgian", "Cherokee", "Coptic", "Thai", "Lao", "Devanagari", "Bengali", "Tamil", "Telugu", "Khmer", "Myanmar", "Ethiopic", "Mongolian")]
 #: Scripts written without spaces, next to which another script may stand.
 UNSPACED = {"Han", "Hiragana", "Katakana", "Hangul", "Bopomofo", "Jpan", "Kore", "Hanb", "Thai", "Lao", "Khmer", "Myanmar"}
 TO_LATIN = {c: x for letters in LOOKALIKES.values() for c, x in letters.items()}
 FROM_LATIN = {script: {x: c for c, x in reversed(letters.items())} for script, letters in LOOKALIKES.items()}
+TO_PLAIN = {ord(c): x for c, x in PHONETIC.items()}
 OWNER = {c: script for script, letters in LOOKALIKES.items() for c in letters}
 
 
@@ -135,6 +143,9 @@ def repair(text: str) -> tuple[str, bool]:
         case = True
     text = unicodedata.normalize("NFC", text)
     if not text.isascii():
+        plain = _PHONETIC.sub(lambda m: m[0].translate(TO_PLAIN), text)
+        case |= plain != text
+        text = plain
         mixed = []
 
         def one(m) -> str:

@@ -36,6 +36,24 @@ def test_repair(text, form, case):
     assert C.repair(form) == (form, False) or not case
 
 
+@pytest.mark.parametrize("script", sorted(C.LOOKALIKES))
+def test_every_script(script):
+    for letter, latin in C.LOOKALIKES[script].items():
+        if latin.isalpha():
+            form, case = C.repair(f"wor{letter}dsqf")
+            assert (form, case) == (f"wor{latin}dsqf", True), letter
+            assert C.repair(form) == (form, False)
+            if script in ("Armenian", "Cherokee", "Coptic"):
+                word = letter * 3
+                assert C.repair(f"the {word} stays") == (f"the {word} stays", False)
+
+
+def test_phonetic_letters():
+    assert C.repair("pɑypal and dɑɡs") == ("paypal and dags", True)
+    assert C.repair("said /ɡɑd/ and [kɑt], ˈɡɑd, ɑ") == ("said /ɡɑd/ and [kɑt], ˈɡɑd, ɑ", False)
+    assert C.repair("w\u0585rd \u13aapple") == ("word Apple", True)
+
+
 def test_suspects_hold_all_cases(spark):
     """The JVM's first look never drops what the full check would find."""
     chars = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800)]]
