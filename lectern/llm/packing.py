@@ -31,7 +31,7 @@ GRID = 64
 SHARD = 50_000
 #: Share of all tokens, in the shortest items, kept back to fill what is left open.
 RESERVE = 0.04
-#: Most kinds of containers in one call.
+#: Kinds of containers that are filled at a time; more are filled in turns.
 KINDS = 1000
 
 
@@ -208,16 +208,12 @@ def packed(documents: DataFrame, containers: DataFrame, shard: int = SHARD, path
     """
     sizes = durable(sized(documents, path=path, **names))
     kind = sizes.schema["doc_id"].dataType.simpleString()
-    kinds = [(r.container_kind, int(r.capacity)) for r in containers.select("container_kind", "capacity").distinct().limit(KINDS + 1).collect() if r.capacity is not None and r.capacity > 0]
-    if len(kinds) > KINDS:
-        raise ValueError(f"more than {KINDS} kinds of containers in one call")
+    kinds = [(r.container_kind, int(r.capacity)) for r in containers.select("container_kind", "capacity").distinct().toLocalIterator() if r.capacity is not None and r.capacity > 0]
     schema = f"container_kind string, container_no bigint, doc_id {kind}, piece int, start_token bigint, n_tokens bigint"
     if not kinds:
         return documents.sparkSession.createDataFrame([], schema)
     shards = max(1, -(-sizes.count() // shard))
-    each = F.explode(F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds]))
-    rows = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("bigint")).withColumn("_c", each)
-    rows = rows.select("_c.container_kind", F.col("_c.capacity").cast("bigint").alias("capacity"), "shard", "doc_id", "n_tokens")
+    sharded = sizes.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("bigint"))
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "n_tokens"], kind="stable")
@@ -237,7 +233,13 @@ def packed(documents: DataFrame, containers: DataFrame, shard: int = SHARD, path
         out.loc[empty, "container_no"] = pd.NA
         return out
 
-    return rows.groupBy("container_kind", "capacity", "shard").applyInPandas(pack, schema)
+    out = None
+    for lo in range(0, len(kinds), KINDS):
+        each = F.explode(F.array(*[F.struct(F.lit(k).cast("string").alias("container_kind"), F.lit(c).alias("capacity")) for k, c in kinds[lo : lo + KINDS]]))
+        rows = sharded.withColumn("_c", each).select("_c.container_kind", F.col("_c.capacity").cast("bigint").alias("capacity"), "shard", "doc_id", "n_tokens")
+        part = rows.groupBy("container_kind", "capacity", "shard").applyInPandas(pack, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def report(filled: DataFrame, containers: DataFrame) -> DataFrame:

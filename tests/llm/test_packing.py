@@ -63,3 +63,11 @@ def test_packed(spark):
     assert packing.packed(docs.limit(0), kinds).count() == 0
     report = {r.container_kind: r for r in packing.report(packing.packed(docs, kinds), kinds).collect()}
     assert report["b"].n_containers >= 4
+
+
+def test_kinds_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KINDS", 2)
+    docs = spark.createDataFrame([(k, "word " * (k + 1)) for k in range(20)], "doc_id bigint, text string")
+    kinds = spark.createDataFrame([(f"k{c}", c) for c in (8, 16, 32, 64, 128)], "container_kind string, capacity int")
+    out = packing.packed(docs, kinds).toPandas()
+    assert out.groupby("container_kind")["n_tokens"].sum().nunique() == 1 and out["container_kind"].nunique() == 5
