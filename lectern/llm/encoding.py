@@ -523,8 +523,9 @@ def priors(weights: DataFrame) -> dict[int, dict[tuple[str, str], float]]:
 
 #: The swap that no code page names: what it makes of each letter is learned from nothing.
 FREE = ("", "")
-#: Most letters, by frequency in the corpus, that a symbol can stand for; rounds of expectation and maximization.
-ALPHABET, ROUNDS = 192, 6
+#: Most letters, by frequency in the corpus, that a symbol can stand for; most rounds of expectation and maximization, which
+#: end when no more than this share of the symbols met have changed their letter.
+ALPHABET, ROUNDS, SETTLED = 192, 6, 0.01
 #: A word that no page explains is looked at if other letters would fit so much better, in nats a symbol, in the place of a run
 #: of its symbols, and if the run's own pairs have less evidence than this each.
 LIFT, AT_HOME = 2.5, 3.0
@@ -683,7 +684,10 @@ def alphabet(read_as: DataFrame, counts: np.ndarray) -> tuple[DataFrame, dict]:
         theta = one_to_one(theta, len(letters))
         theta = {key: list(combined(row).items()) for key, row in theta.items()}
         top = lambda t: {key: max(v, key=lambda x: x[1])[0] for key, v in t.items()}
-        if top(before) == top(theta):
+        was, now = top(before), top(theta)
+        mass = {key: sum(m for _, m in row) for key, row in theta.items()}
+        # settled: hardly a letter's place is taken by another
+        if sum(mass[key] for key in now if was.get(key) != now[key]) <= SETTLED * sum(mass.values()):
             break
     learned = []
     for (place, wrong, true, symbol), row in theta.items():
