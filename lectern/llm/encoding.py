@@ -58,7 +58,8 @@ AGREEING = 3
 #: Log weight of a swap not met in a source.
 RARE = -6.0
 PLAIN = "\\x00-\\x7f" + MARKS
-ODD = re.compile(rf"[^\x00-\x20]*[^{PLAIN}][^\x00-\x20]*")
+#: An odd word from its first odd character on, and what ends words.
+ODD, BLANK = re.compile(rf"[^{PLAIN}][^\x00-\x20]*"), re.compile(r"[\x00-\x20]")
 CJK = re.compile(r"[⺀-鿿豈-﫿＀-￯]")
 LOST = "�"
 #: Part of a run of CJK text, which has no spaces: what a letter adds to the evidence by being valid, and what a part
@@ -117,23 +118,52 @@ def encoded(letter: str, wrong: str) -> bytes | None:
 
 
 @lru_cache(maxsize=None)
-def starts(wrong: str) -> re.Pattern:
-    """Letters with which a piece of ``atoms`` can begin: the others are passed over at once."""
-    able = [chr(c) for c in range(0x80, 0x10000) if (raw := encoded.__wrapped__(chr(c), wrong)) and ((m := UTF8.match(raw)) and (m.end() == len(raw) or UTF8.match(raw, m.end()) or BROKEN.match(raw, m.end())) or BROKEN.match(raw))]
-    return re.compile(rf"[\x00-\x7f{LOST}\U00010000-\U0010ffff{re.escape(''.join(able))}]|(?<={LOST}).")
+def starts(wrong: str) -> tuple[re.Pattern, dict[str, str]]:
+    """Where a piece of ``atoms`` can begin, the rest being passed over at once, and the letters that are pieces of their own."""
+    able, heads, follow, whole = [], [], [], {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if not (raw := encoded.__wrapped__(c, wrong)):
+            continue
+        if raw[:1] in TRAIL:
+            follow.append(c)
+        try:
+            whole[c] = raw.decode()
+            continue
+        except UnicodeDecodeError:
+            pass
+        m = UTF8.match(raw)
+        if BROKEN.match(raw, m.end() if m else 0):
+            heads.append(c)
+        elif m and UTF8.match(raw, m.end()):
+            able.append(c)
+    astral, among = "\U00010000-\U0010ffff", lambda letters: re.escape("".join(letters))
+    # a letter that begins a sequence of bytes begins a piece only if the next one can go on with it or is lost
+    return re.compile(rf"[\x00-\x7f]+|[{LOST}{astral}{among(whole)}{among(able)}]|[{among(heads)}](?=[?{LOST}{astral}{among(follow)}])|(?<={LOST})."), whole
 
 
 def atoms(run: str, wrong: str) -> list[tuple[int, int, str]]:
-    """(begin, end, back) of the least pieces of ``run`` that are UTF-8 read in ``wrong``, and of ASCII letters.
+    """(begin, end, back) of the least pieces of ``run`` that are UTF-8 read in ``wrong``, and of the ASCII stretches beside them.
 
     A piece begins and ends between letters of both encodings.  A letter of
     which bytes are lost is read as U+FFFD.
     """
-    out, k, n, start = [], 0, len(run), starts(wrong)
+    out, k, n, (start, whole), ascii = [], 0, len(run), starts(wrong), None
     while m := start.search(run, k):
         k = m.start()
         if run[k] <= "\x7f":
-            out.append((k, k + 1, run[k]))
+            ascii = (k, m.end(), m[0])
+            if out and out[-1][1] == k:
+                out.append(ascii)
+                ascii = None
+            k = m.end()
+            continue
+        if ascii and ascii[1] < k:
+            ascii = None
+        if (alone := whole.get(run[k])) is not None and not (k and run[k - 1] == LOST):
+            if ascii:
+                out.append(ascii)
+                ascii = None
+            out.append((k, k + 1, alone))
             k += 1
             continue
         raw, back, at, e = b"", "", 0, k
@@ -151,14 +181,18 @@ def atoms(run: str, wrong: str) -> list[tuple[int, int, str]]:
             if at == len(raw) or len(raw) - at > 3 or not BROKEN.match(raw, at):
                 break
         if at == len(raw) > 0:
-            out.append((k, e, back))
-            k = e
+            piece = (k, e, back)
         elif e < n and run[e] in LOST + "?" and (e == k or BROKEN.match(raw, at)):
             # "?" is kept: it may be a mark of the text as well as a lost byte
-            out.append((k, e + (run[e] == LOST), back + LOST))
-            k = max(k + 1, out[-1][1])
+            piece = (k, e + (run[e] == LOST), back + LOST)
         else:
             k += 1
+            continue
+        if ascii:
+            out.append(ascii)
+            ascii = None
+        out.append(piece)
+        k = max(k + 1, piece[1])
     return out
 
 
@@ -284,8 +318,10 @@ class Model:
     def parts(self, run: str, wrong: str, cost: float = PART) -> tuple[str, float]:
         """``run`` with its parts restored that are UTF-8 read in ``wrong``, and the evidence for them."""
         table = self.value
+        if not (each := atoms(run, wrong)):
+            return run, 0.0
         value = lambda a, b: 0.0 if a == LOST or b == LOST or a <= "\x7f" and b <= "\x7f" else table[LEFT[a] ^ RIGHT[b]]
-        each, out, gain, done, k = atoms(run, wrong), [], 0.0, 0, 0
+        out, gain, done, k = [], 0.0, 0, 0
         while k < len(each):
             begin, end, back = each[k]
             alone = (not k or each[k - 1][1] < begin) and (k + 1 == len(each) or each[k + 1][0] > end)
@@ -301,15 +337,18 @@ class Model:
                     if total <= 0.0:
                         # what stands before it is a neighbour of either reading
                         total, first, last = 0.0, j, run[max(0, begin - 1) : begin]
-                    text = last + back
-                    stood = run[begin - bool(last) : end]
-                    total += sum(map(value, text, text[1:])) - sum(map(value, stood, stood[1:])) + VALID * sum(c > "\x7f" and c != LOST for c in run[begin:end])
+                    if end - begin == len(back) == len(last) == 1 and run[begin] != LOST:
+                        total += value(last, back) - value(run[begin - 1], run[begin]) + VALID
+                    else:
+                        text = last + back
+                        stood = run[begin - bool(last) : end]
+                        total += sum(map(value, text, text[1:])) - sum(map(value, stood, stood[1:])) + VALID * sum(c > "\x7f" and c != LOST for c in run[begin:end])
                     if total > best:
                         best, start, stop = total, first, j + 1
                     elif total < best - cost:
                         break
                 elif last:
-                    total += value(last, back) - value(run[begin - 1], back)
+                    total += value(last, back[0]) - value(run[begin - 1], back[0])
                 last = back[-1] if back else last
                 j += 1
             if best - cost >= WORD_LEAST:
@@ -388,13 +427,26 @@ def bare(word: str) -> str:
 OTHER = re.compile(rf"(?:^|(?<=[⺀-鿿豈-﫿＀-￯]))[^⺀-鿿豈-﫿＀-￯]*[^{PLAIN}{LOST}⺀-鿿豈-﫿＀-￯][^⺀-鿿豈-﫿＀-￯]*")
 
 
+def odd_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Where the words stand that have a character neither ASCII nor common punctuation; other words are not looked at."""
+    end = 0
+    for m in ODD.finditer(text):
+        begin = max(end, text.rfind(" ", end, m.start()) + 1)
+        before = text[begin : m.start()]
+        if not before.isprintable():  # other blanks
+            begin = m.start() - len(BLANK.split(before)[-1])
+        end = m.end()
+        yield begin, end
+
+
 def odd_words(text: str) -> Iterator[str]:
     """Words with a character that is neither ASCII nor common punctuation.
 
     A run with CJK letters has no spaces: it is a word, and what stands between
     its CJK letters are words of their own.
     """
-    for word in ODD.findall(text):
+    for begin, end in odd_spans(text):
+        word = text[begin:end]
         yield word
         if CJK.search(word):
             yield from OTHER.findall(word)
@@ -404,20 +456,23 @@ def reread(text: str, model: Model, swap: tuple[str, str], learned: dict | None
     """``text`` with every word restored that ``swap`` reads better; one-byte swaps by the source's learned table."""
     table = (learned or {}).get(swap)
 
-    def back(m: re.Match) -> str:
-        word = m[0]
+    def back(word: str) -> str:
         if table is not None and not CJK.search(word):
             if swap == FREE:
                 return next((b for _, b, _ in freely(word, model, learned)), word)
             return word.translate(table) if any(h == swap for h, _, _ in model.readings(word)) else word
         if CJK.search(word):
             if swap[0] not in WIDE_READ:
-                return OTHER.sub(back, word)
+                return OTHER.sub(lambda m: back(m[0]), word)
             if read(word, swap) is None:
                 return model.parts(word, swap[0], KNOWN)[0]
         return next((b for h, b, _ in model.readings(word) if h == swap), word)
 
-    return ODD.sub(back, text)
+    out, done = [], 0
+    for begin, end in odd_spans(text):
+        out += [text[done:begin], back(text[begin:end])]
+        done = end
+    return "".join(out) + text[done:]
 
 
 def freely(word: str, model: Model, learned: dict | None) -> list[tuple[tuple[str, str], str, float]]:

@@ -145,3 +145,21 @@ def test_one_byte_misreading_beside_sound_cjk(model):
 def test_sound_cjk_stays(model):
     for text in (CLEAN["zh"], "2024年" + CLEAN["zh"], CLEAN["zh"] + "联通·很好Python联"):
         assert E.restore(text, model, {}) == (False, text)
+
+
+def test_plain_words_are_not_tried_letter_by_letter():
+    import time
+
+    text = "Zoë\t" + "a" * 100_000 + " “naïve”\x1fcafé\x7f x\n" + "b" * 100_000
+    began = time.process_time()
+    assert list(E.odd_words(text)) == ["Zoë", "“naïve”", "café\x7f"]
+    assert time.process_time() - began < 1
+
+
+@pytest.mark.parametrize("wrong", E.WIDE_READ)
+def test_pieces_of_sound_runs(wrong):
+    # a long plain stretch counts only beside a piece that can be a misreading, and as one
+    garbled = "船长".encode().decode(wrong, "replace")
+    assert E.atoms("中" + "plain" * 20 + "中", wrong) == []
+    pieces = E.atoms("中" + "plain" * 20 + garbled + "words", wrong)
+    assert pieces[0] == (1, 101, "plain" * 20) and pieces[-1][2] == "words"
